@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
+from .bpe import vocabulary
+from .encode import encode_texts, token_counts
 from .neardup import near_duplicates
 from .records import named, sequence_records, usable
+from .pack import packed
 from .runs import collapse_units
 from .spans import shared_letters
+from .split import Budget, split_texts
 from .survivor import best_spans, consensus_value, plain_name
 from .terms import reverse_complement_code, term_counts, term_pairs, vector_terms
 
@@ -74,4 +78,39 @@ def p7_found(spark, sf_dir):
     return near_duplicates(rows).select(F.col("id_a").alias("sfs_id_a"), F.col("id_b").alias("sfs_id_b"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p3_found, p3_counts, p5_found, p6_found, p6_consensus, p7_found)}
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _budgets(spark, sf_dir, purpose: str) -> dict:
+    """The budgets of a purpose by tokenizer; the table has a few rows, whatever the scale."""
+    rows = table(spark, sf_dir, "token_budgets").where(F.col("purpose") == purpose).orderBy("budget_id").collect()
+    return {name: [r for r in rows if r.tokenizer == name] for name in dict.fromkeys(r.tokenizer for r in rows)}
+
+
+def p8_ids(spark, sf_dir):
+    """The token ids of every document."""
+    return encode_texts(_documents(spark, sf_dir), vocabulary("byte_bpe_50k")).select(F.col("id").alias("doc_id"), "ids")
+
+
+def p9_packed(spark, sf_dir):
+    """A container for every document, or part of one that is larger than a container, for each budget."""
+    out = None
+    for name, budgets in _budgets(spark, sf_dir, "pack").items():
+        sizes = token_counts(_documents(spark, sf_dir), vocabulary(name))
+        one = packed(sizes, {b.budget_id: b.max_tokens for b in budgets})
+        out = one if out is None else out.unionByName(one)
+    return out.select("budget_id", F.col("id").alias("doc_id"), "part", F.col("n").alias("n_tokens"), "container")
+
+
+def p10_pieces(spark, sf_dir):
+    """The pieces of every document above each budget."""
+    out = None
+    for name, budgets in _budgets(spark, sf_dir, "split").items():
+        limits = [Budget(b.budget_id, b.max_tokens, b.overlap_tokens or 0) for b in budgets]
+        one = split_texts(_documents(spark, sf_dir), limits, vocabulary(name))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p3_found, p3_counts, p5_found, p6_found, p6_consensus, p7_found, p8_ids, p9_packed, p10_pieces)}
