@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cleaning
+from . import cleaning, kmer_queries
 
-MODULES = (cleaning,)
+MODULES = (cleaning, kmer_queries)
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def entry(spark, sf_dir):
-    return cleaning.p4_found(spark, sf_dir)
+    return kmer_queries.kan_missed_per_read(spark, sf_dir)
