@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cleaning, kmer_queries
+from . import cleaning, graph_queries, kmer_queries
 
-MODULES = (cleaning, kmer_queries)
+MODULES = (cleaning, kmer_queries, graph_queries)
 
 
 def queries():
