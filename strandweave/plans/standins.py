@@ -67,7 +67,7 @@ SQL = {
         matches, cigar_len, plen, cigar from gaf where name is not null and qlen > 0 and nm >= 0 and aligner is not null)""",
     "walks": """walks as (select aln_id, step, substr(x, 2) as id, x like '<%' as rev from (select aln_id, unnest(regexp_extract_all(path, '[<>][^<>]+')) as x,
         generate_subscripts(regexp_extract_all(path, '[<>][^<>]+'), 1) - 1 as step from gaf where path is not null))""",
-    "bed": "bed as (select event_id, event_type as chrom, epoch(ts)::bigint as s, epoch(ts)::bigint + trunc(value)::bigint * 60 + 1 as e from events where value is not null)",
+    "bed": "bed as (select event_id, event_type as chrom, floor(epoch(ts))::bigint as s, floor(epoch(ts))::bigint + trunc(value)::bigint * 60 + 1 as e from events where value is not null)",
     "rk": f"rk0 as (select rid, seq, unnest(range(1, length(seq) - {K - 2})) as i from reads where length(seq) >= {K}), rk1 as (select rid, i - 1 as pos, substr(seq, i, {K}) as w from rk0), rk as (select rid, pos, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) as kmer from rk1 where regexp_full_match(w, '[ACGT]+'))",
     "pk": f"""pk0 as (select vid, is_ref, seq, unnest(range(1, length(seq) - {K - 2})) as i from panel where length(seq) >= {K}), pk1 as (select vid, is_ref, i - 1 as pos, substr(seq, i, {K}) as w from pk0),
         pk as (select vid, is_ref, pos, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) as kmer, reverse(translate(w, 'ACGT', 'TGCA')) < w as rev from pk1 where regexp_full_match(w, '[ACGT]+')),
