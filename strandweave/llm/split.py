@@ -95,32 +95,43 @@ def plan(grade: np.ndarray, most: int, overlap: int, fits=None) -> list[tuple[in
         a = start
 
 
-def _safe(data: np.ndarray, at: int) -> bool:
-    """Whether a word surely begins here: white space after none, or a border of the text."""
-    return at <= 0 or at >= len(data) or bool(_SPACE[data[at]] and not _SPACE[data[at - 1]] and data[at - 1] < 128)
+class Cuts:
+    """A whole text with its token ids: where its tokens end, how good each cut is, and where words surely begin."""
 
+    def __init__(self, raw: bytes, ids: np.ndarray, path: str):
+        data = np.frombuffer(raw, np.uint8)
+        self.raw, self.encode = raw, encoder(path).encode_ordinary
+        ends = np.cumsum(token_bytes(path)[ids])
+        self.starts = np.concatenate([[0], ends])
+        self.grade = grades(data, ends, True)
+        # white space behind a letter begins a word, whatever is cut off before or behind it
+        inner = self.starts[1:-1]
+        sure = _SPACE[data[inner]] & ~_SPACE[data[inner - 1]] & (data[inner - 1] < 128)
+        self.sure = np.concatenate([[0], np.flatnonzero(sure) + 1, [len(ids)]])
 
-def split_text(raw: bytes, ids: np.ndarray, budget: Budget, path: str) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) in bytes of the pieces of a whole text with these ids."""
-    data = np.frombuffer(raw, np.uint8)
-    ends = np.cumsum(token_bytes(path)[ids])
-    encode = encoder(path).encode_ordinary
-    starts = np.concatenate([[0], ends])
+    def _count(self, a: int, b: int) -> int:
+        return len(self.encode(self.raw[self.starts[a] : self.starts[b]].decode("utf-8", "replace"))) if b > a else 0
 
-    def fits(a, b):
-        x, y = int(starts[a]), int(starts[b])
-        return b - a if _safe(data, x) and _safe(data, y) else len(encode(raw[x:y].decode("utf-8", "replace")))
+    def size(self, a: int, b: int) -> int:
+        """Tokens that the text between two cuts has on its own: only its first and its last word may differ from the whole text's."""
+        first = int(self.sure[np.searchsorted(self.sure, a)])
+        last = int(self.sure[np.searchsorted(self.sure, b, side="right") - 1])
+        if first >= last:
+            return self._count(a, b)
+        return self._count(a, first) + (last - first) + self._count(last, b)
 
-    return [(int(starts[a]), int(starts[b]), n) for a, b, n in plan(grades(data, ends, True), budget.most, budget.overlap, fits)]
+    def pieces(self, budget: Budget) -> list[tuple[int, int, int]]:
+        """(start, end, tokens), the first two in bytes."""
+        return [(int(self.starts[a]), int(self.starts[b]), n) for a, b, n in plan(self.grade, budget.most, budget.overlap, self.size)]
 
 
-_PIECES = "budget_id int, id bigint, start bigint, end bigint, n_tokens int, text string"
-_NAMES = ["budget_id", "id", "start", "end", "n_tokens", "text"]
+_PIECES = "budget_id int, id bigint, piece int, start bigint, end bigint, n_tokens int, text string"
+_NAMES = ["budget_id", "id", "piece", "start", "end", "n_tokens", "text"]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-    columns = list(zip(*rows)) if rows else [()] * 6
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+    columns = list(zip(*rows)) if rows else [()] * 7
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_NAMES)
 
 
@@ -155,10 +166,11 @@ def split_texts(texts: DataFrame, budgets: list[Budget], path: str | None = None
                 own = ids[offsets[i] : offsets[i + 1]]
                 if len(own) <= least:
                     continue
-                raw = batch.column("text")[i].as_py().encode("utf-8")
+                raw, who = batch.column("text")[i].as_py().encode("utf-8"), batch.column("id")[i].as_py()
+                cuts = Cuts(raw, own, path)
                 for b in budgets:
                     if len(own) > b.most:
-                        rows += [(b.budget_id, batch.column("id")[i].as_py(), x, y, n, raw[x:y].decode("utf-8")) for x, y, n in split_text(raw, own, b, path)]
+                        rows += [(b.budget_id, who, k, x, y, n, raw[x:y].decode("utf-8")) for k, (x, y, n) in enumerate(cuts.pieces(b))]
             yield _batch(rows)
 
     short = base.where(F.octet_length("text") <= size).mapInArrow(whole, _PIECES)
@@ -247,12 +259,11 @@ def split_texts(texts: DataFrame, budgets: list[Budget], path: str | None = None
                 text = body.decode("utf-8", "replace")
                 ids = encode(text)
                 if len(ids) <= by_id[budget_id].most:
-                    rows.append((budget_id, who, start, end, len(ids), text))
+                    rows.append((budget_id, who, 0, start, end, len(ids), text))
                 else:
-                    again = split_text(body, np.array(ids, np.int64), by_id[budget_id], path)
-                    rows += [(budget_id, who, start + x, start + y, n, body[x:y].decode("utf-8", "replace")) for x, y, n in again]
+                    again = Cuts(body, np.array(ids, np.int64), path).pieces(by_id[budget_id])
+                    rows += [(budget_id, who, 0, start + x, start + y, n, body[x:y].decode("utf-8", "replace")) for x, y, n in again]
             yield _batch(rows)
 
-    done = short.unionByName(bodies.mapInArrow(emit, _PIECES))
     number = F.row_number().over(Window.partitionBy("budget_id", "id").orderBy("start", "end"))
-    return done.select("budget_id", "id", (number - 1).alias("piece"), "start", "end", "n_tokens", "text")
+    return short.unionByName(bodies.mapInArrow(emit, _PIECES).withColumn("piece", number - 1))
