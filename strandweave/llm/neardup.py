@@ -72,7 +72,8 @@ def kmer_sets(codes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
     key = np.minimum(fwd[:m], rev[:m])[ok]
     row = row[:m][ok]
     if 2 * k + int(row[-1] if len(row) else 0).bit_length() < 63:
-        both = np.unique((row << 2 * k) | key)
+        both = np.sort((row << 2 * k) | key)
+        both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
         return both >> 2 * k, both & ((1 << 2 * k) - 1)
     order = np.lexsort((key, row))
     row, key = row[order], key[order]
