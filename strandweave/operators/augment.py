@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.seqexpr import reverse_complement
 from .align import operations
+from .graph import chain_heads
 
 
 def _placed(walks: DataFrame, segments: DataFrame) -> DataFrame:
@@ -109,14 +110,7 @@ def unchopped(segments: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFra
     back = single.select(F.col("a").alias("b"), F.col("ea").alias("eb"), F.col("b").alias("a"), F.col("eb").alias("ea"))
     # only links that keep the strand (right end to left end) are joined: others would need one side turned
     joined = single.join(back, ["a", "ea", "b", "eb"]).where("ea = 1 and eb = 0 and a <> b").select("a", "b")
-    state = segments.select("id").join(joined.select(F.col("b").alias("id"), F.col("a").alias("up")), "id", "left")
-    state = cut(state.select("id", F.coalesce("up", "id").alias("head"), F.col("up").isNotNull().cast("bigint").alias("place")))
-    for _ in range(40):
-        up = state.select(F.col("id").alias("head"), F.col("head").alias("h2"), F.col("place").alias("p2"))
-        state = cut(state.join(up, "head").select("id", F.col("h2").alias("head"), (F.col("place") + F.col("p2")).alias("place"), (F.col("h2") != F.col("head")).alias("moved")))
-        if state.where("moved").isEmpty():
-            break
-    state = state.select("id", F.when(F.col("moved"), F.col("id")).otherwise(F.col("head")).alias("head"), F.when(F.col("moved"), 0).otherwise(F.col("place")).alias("place"))
+    state = cut(chain_heads(segments, joined, "id"))
     merged = segments.join(state, "id").groupBy("head").agg(F.array_sort(F.collect_list(F.struct("place", "seq"))).alias("x"), F.count(F.lit(1)).alias("n"))
     # a path walks a whole chain, so its first vertex (the last one, in reverse) stands for it
     last = merged.select("head", (F.col("n") - 1).alias("last"))

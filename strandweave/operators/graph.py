@@ -225,25 +225,28 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataF
     return label.select("vid", F.col("l").alias("component"))
 
 
-def unary_chains(vertices: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
+def chain_heads(vertices: DataFrame, joined: DataFrame, key: str = "vid") -> DataFrame:
+    """(key, head, place) of chains given by edges (a, b) with one way out of a and one into b.
+
+    Each vertex jumps to the pointer of its pointer, so the number of rounds is the logarithm of
+    the number of edges. Vertices of closed rings never reach a head and stay alone."""
+    joined = cut(joined.select(F.col("b").alias(key), F.col("a").alias("up")))
+    state = cut(vertices.select(key).distinct().join(joined, key, "left").select(key, F.coalesce("up", key).alias("head"), F.col("up").isNotNull().cast("bigint").alias("place")))
+    for _ in range(joined.count().bit_length()):
+        up = state.select(F.col(key).alias("head"), F.col("head").alias("h2"), F.col("place").alias("p2"))
+        state = cut(state.join(up, "head").select(key, F.col("h2").alias("head"), (F.col("place") + F.col("p2")).alias("place")))
+    inner = joined.select(F.col(key).alias("head"), F.lit(True).alias("ring"))
+    own = F.coalesce("ring", F.lit(False))
+    return state.join(inner, "head", "left").select(key, F.when(own, F.col(key)).otherwise(F.col("head")).alias("head"), F.when(own, 0).otherwise(F.col("place")).cast("bigint").alias("place"))
+
+
+def unary_chains(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(vid, head, place): vertices on chains without branches, with the first vertex of the chain and their place in it.
 
-    An edge (a, b) joins a chain if a has no other way out and b no other way in. Each vertex
-    jumps to the pointer of its pointer until it reaches a head. Vertices of closed rings without
-    a head are chains of one.
-    """
+    An edge (a, b) joins a chain if a has no other way out and b no other way in."""
     out = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b")).where("n = 1")
     inn = edges.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).where("n = 1")
-    joined = out.select("a", "b").join(inn.select("a", "b"), ["a", "b"]).where("a <> b")
-    state = vertices.select("vid").distinct().join(joined.select(F.col("b").alias("vid"), F.col("a").alias("up")), "vid", "left")
-    state = cut(state.select("vid", F.coalesce("up", "vid").alias("head"), F.col("up").isNotNull().cast("bigint").alias("place")))
-    for _ in range(rounds):
-        up = state.select(F.col("vid").alias("head"), F.col("head").alias("h2"), F.col("place").alias("p2"))
-        state = cut(state.join(up, "head").select("vid", F.col("h2").alias("head"), (F.col("place") + F.col("p2")).alias("place"), (F.col("h2") != F.col("head")).alias("moved")))
-        if state.where("moved").isEmpty():
-            break
-    ring = state.where("moved").select("vid", F.col("vid").alias("head"), F.lit(0).cast("bigint").alias("place"))
-    return state.where("not moved").select("vid", "head", "place").unionByName(ring)
+    return chain_heads(vertices, out.select("a", "b").join(inn.select("a", "b"), ["a", "b"]).where("a <> b"))
 
 
 def renumbered(segments: DataFrame, order: list[str]) -> DataFrame:
