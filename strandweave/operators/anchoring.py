@@ -44,8 +44,8 @@ def best_paths(anchors: DataFrame, locations: DataFrame, key: str) -> DataFrame:
     anchors: with vid; locations: (vid, path), distinct. The order is one aggregated struct."""
     on = anchors.join(locations, "vid").groupBy(key, "s", "e", "path").agg(F.count_if(F.col("side") == "left").alias("nl"), F.count_if(F.col("side") == "right").alias("nr"))
     both = on.where("nl > 0 and nr > 0")
-    order = F.struct(harmonic_mean(F.col("nl"), F.col("nr")).alias("h"), (F.col("nl") + F.col("nr")).alias("n"), (-F.col("path")).alias("p"), "path", "nl", "nr")
-    best = both.groupBy(key, "s", "e").agg(F.max(order).alias("x"))
+    order = F.struct((-harmonic_mean(F.col("nl"), F.col("nr"))).alias("h"), (-F.col("nl") - F.col("nr")).alias("n"), "path", "nl", "nr")
+    best = both.groupBy(key, "s", "e").agg(F.min(order).alias("x"))
     return best.select(key, "s", "e", "x.path", "x.nl", "x.nr")
 
 

@@ -78,8 +78,8 @@ def specific_strings(reads: DataFrame, segments: DataFrame, steps: DataFrame, ta
         flag.alias("flag"), "rname", s.cast("int").alias("s"), (e - s).cast("int").alias("l"), e.cast("int").alias("e"), F.when(good, F.col("l_vid")).alias("sv"), F.when(good, F.col("r_vid")).alias("ev"),
         F.when(good, F.col("left.vpos")).alias("soff"), F.when(good, F.col("right.vpos") + k - 1).alias("eoff"), F.when(good, F.col("left.kmer")).alias("skmer"), F.when(good, F.col("right.kmer")).alias("ekmer"), F.when(good, F.col("path")).alias("path"),
     )
-    text = F.substr(F.col("r.seq"), F.col("x.s") + 1, F.col("x.l"))
-    return rows.alias("x").join(reads.alias("r"), F.col("x.rname") == F.col("r.rname")).select("x.*", text.alias("seq"))
+    whole = reads.select("rname", F.col("seq").alias("whole"))
+    return rows.join(whole, "rname").withColumn("seq", F.substr(F.col("whole"), F.col("s") + 1, F.col("l"))).drop("whole")
 
 
 def align_strings(strings: DataFrame, segments: DataFrame, steps: DataFrame, most: int = 64, longest: int = 100_000) -> tuple[DataFrame, DataFrame]:
@@ -92,9 +92,9 @@ def align_strings(strings: DataFrame, segments: DataFrame, steps: DataFrame, mos
     same = good.where("skmer <= ekmer").select("rname", "skmer", "ekmer", "sv", "ev", "path", "seq").unionByName(
         turned.select("rname", F.col("ekmer").alias("skmer"), F.col("skmer").alias("ekmer"), F.col("ev").alias("sv"), F.col("sv").alias("ev"), "path", reverse_complement(F.col("seq")).alias("seq"))
     )
-    small = same.groupBy("skmer", "ekmer").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "sv", "ev")).alias("x")).where(F.col("n") <= most)
+    small = same.groupBy("skmer", "ekmer").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "sv", "ev")).alias("low")).where(F.col("n") <= most)
     lists = same.join(small.select("skmer", "ekmer"), ["skmer", "ekmer"]).groupBy("skmer", "ekmer").agg(F.array_sort(F.collect_list("seq")).alias("seqs"), F.array_sort(F.collect_set("rname")).alias("reads"))
-    voted = lists.select("skmer", "ekmer", "reads", F.posexplode(A.cluster_consensus("seqs")).alias("i", "cons")).join(small.select("skmer", "ekmer", "x.*"), ["skmer", "ekmer"])
+    voted = lists.select("skmer", "ekmer", "reads", F.posexplode(A.cluster_consensus("seqs")).alias("i", "cons")).join(small.select("skmer", "ekmer", "low.*"), ["skmer", "ekmer"])
     named = cut(dense_index(voted, ["skmer", "ekmer", "i"], "no", 0).withColumn("name", F.concat(F.lit("cns-"), F.col("no").cast("string"))))
     # the stretch of the path from one anchor vertex to the other, in the order of the path
     at = steps.groupBy("path", "vid").agg(F.min("step").alias("at"))
