@@ -92,7 +92,7 @@ def _plain_edges(spark, d):
 
 def redundant_siblings(spark, d):
     s = V.steps(spark, d)
-    return G.redundant_siblings(G.distinct_edges(s), V.segments(spark, d).withColumn("seq", F.left("seq", F.lit(3))), s.select("h").distinct())
+    return G.redundant_siblings(G.distinct_edges(s), V.segments(spark, d), s.select("h").distinct())
 
 
 def dp_spell_paths(spark, d):
