@@ -150,12 +150,12 @@ def redundant_siblings(edges: DataFrame, segments: DataFrame, novel: DataFrame)
 # --- recursion ---------------------------------------------------------------------------------
 
 
-def spellings(targets: DataFrame, edges: DataFrame, segments: DataFrame, most: int = 1024, rounds: int = 64) -> DataFrame:
+def spellings(targets: DataFrame, edges: DataFrame, segments: DataFrame, most: int = 1024, rounds: int | None = None) -> DataFrame:
     """(key, walk): all walks of the graph from ``source`` to ``sink`` that spell ``seq``, for targets (key, source, sink, seq).
 
     Each round adds a vertex to the walks that still spell a prefix; at most ``most`` walks of a
     key, those of the lowest handles, go on. Vertices without letters are left out, so each
-    round gets further and the longest target bounds the rounds.
+    round gets further and the longest target bounds the rounds, if not ``rounds`` does.
     """
     oriented = lambda h: F.when(h % 2 == 1, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     segs = segments.where("length(seq) > 0").select("vid", "seq")
@@ -163,8 +163,9 @@ def spellings(targets: DataFrame, edges: DataFrame, segments: DataFrame, most: i
     nexts = edges.join(both, F.col("h2") == F.col("h")).select("h1", "h2", "x")
     state = targets.join(both, F.col("source") == F.col("h")).where(F.col("seq").startswith(F.col("x")))
     state = state.select("key", "sink", "seq", F.col("h").alias("at"), F.length("x").alias("pos"), F.array("h").alias("walk"))
-    done = None
-    for i in range(rounds):
+    done, n = None, 0
+    while n != rounds:
+        n += 1
         ends = state.where("at = sink and pos = length(seq)").select("key", "walk")
         done = ends if done is None else done.unionByName(ends)
         grown = state.where("pos < length(seq)").join(nexts, F.col("at") == F.col("h1"))
@@ -177,27 +178,25 @@ def spellings(targets: DataFrame, edges: DataFrame, segments: DataFrame, most: i
     return done
 
 
-def first_reached(sources: DataFrame, edges: DataFrame, wanted: DataFrame, rounds: int = 5) -> DataFrame:
-    """(vid, depth, found): breadth-first from each source along the edges, until the first round that meets wanted vertices; the lowest of these.
+def first_reached(sources: DataFrame, edges: DataFrame, wanted: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(vid, depth, found): for each source the number of steps along the edges to the nearest wanted vertex; the lowest of these at that depth.
 
-    Edges are (a, b) on plain vertices; a source that is wanted itself is found at depth 0.
+    Edges are (a, b) on plain vertices; a source that is wanted itself is found at depth 0. The
+    search starts from all wanted vertices at once and goes against the edges: a vertex one step
+    before those of a depth takes the lowest of what they have found. So each vertex is settled
+    once, and the search ends when none is left, or after ``rounds`` steps.
     """
-    aim = wanted.select(F.col("vid").alias("at"), F.lit(True).alias("ok"))
-    frontier = sources.select("vid", F.col("vid").alias("at"))
-    seen, out = frontier, None
-    for depth in range(rounds + 1):
-        marked = frontier.join(aim, "at", "left")
-        hit = marked.where("ok").groupBy("vid").agg(F.min("at").alias("found")).withColumn("depth", F.lit(depth))
-        out = hit if out is None else out.unionByName(hit)
-        if depth == rounds:
-            break
-        rest = frontier.join(hit.select("vid"), "vid", "left_anti")
-        step = rest.join(edges, rest["at"] == edges["a"]).select("vid", F.col("b").alias("at")).distinct()
-        frontier = cut(step.join(seen, ["vid", "at"], "left_anti"))
-        seen = seen.unionByName(frontier)
-        if frontier.isEmpty():
-            break
-    return out.select("vid", "depth", "found")
+    back = cut(edges.select("a", "b").distinct())
+    frontier = cut(wanted.select("vid").distinct().withColumn("depth", F.lit(0)).withColumn("found", F.col("vid")))
+    settled, depth = frontier, 0
+    while depth != rounds and not frontier.isEmpty():
+        depth += 1
+        step = back.join(frontier.select(F.col("vid").alias("b"), "found"), "b").groupBy(F.col("a").alias("vid")).agg(F.min("found").alias("found"))
+        frontier = cut(step.join(settled.select("vid"), "vid", "left_anti").select("vid", F.lit(depth).alias("depth"), "found"))
+        settled = settled.unionByName(frontier)
+        if depth % 8 == 0:
+            settled = cut(settled)
+    return sources.select("vid").distinct().join(settled, "vid").select("vid", "depth", "found")
 
 
 def components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:

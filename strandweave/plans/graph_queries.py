@@ -101,16 +101,36 @@ def dp_spell_paths(spark, d):
     own = s.where("consensus")
     whole = own.groupBy("path").agg(F.min_by("h", "step").alias("source"), F.max_by("h", "step").alias("sink"), F.count(F.lit(1)).alias("n"))
     targets = G.spell_paths(own, segs).join(whole, "path").select(F.col("path").alias("key"), "source", "sink", "seq")
-    found = G.spellings(targets, G.distinct_edges(s), segs, rounds=40)
+    found = G.spellings(targets, G.distinct_edges(s), segs)
     return found.select("key", F.concat_ws(",", F.transform("walk", lambda h: h.cast("string"))).alias("walk"))
 
 
-def bfs_first_reference(spark, d):
-    """From each vertex off the reference, the nearest reference vertex downstream within four steps."""
+def _off_reference(spark, d):
+    """Vertices off the reference and those on it."""
     s = V.steps(spark, d)
     ref = s.where("is_ref").select("vid").distinct()
-    rest = s.select("vid").distinct().join(ref, "vid", "left_anti")
-    return G.first_reached(rest, _plain_edges(spark, d), ref, 4)
+    return s.select("vid").distinct().join(ref, "vid", "left_anti"), ref
+
+
+def bfs_first_reference(spark, d):
+    """From each vertex off the reference, the nearest reference vertex downstream, however far."""
+    rest, ref = _off_reference(spark, d)
+    return G.first_reached(rest, _plain_edges(spark, d), ref)
+
+
+def bfs_reference_region(spark, d):
+    """The nearest reference vertices up- and downstream of each vertex off the reference that has both, and
+    their offsets on the lowest reference path that holds both; no path if none does."""
+    rest, ref = _off_reference(spark, d)
+    edges = _plain_edges(spark, d)
+    down = G.first_reached(rest, edges, ref).select("vid", F.col("found").alias("down"))
+    up = G.first_reached(rest, edges.select(F.col("b").alias("a"), F.col("a").alias("b")), ref).select("vid", F.col("found").alias("up"))
+    ends = up.join(down, "vid")
+    offs = G.bp_offsets(V.steps(spark, d).where("is_ref"), V.segments(spark, d)).groupBy("path", "vid").agg(F.max("off").alias("off"))
+    a = offs.select("path", F.col("vid").alias("up"), F.col("off").alias("start"))
+    b = offs.select("path", F.col("vid").alias("down"), F.col("off").alias("end"))
+    on = ends.select("up", "down").distinct().join(a, "up").join(b, ["path", "down"]).groupBy("up", "down").agg(F.min(F.struct("path", "start", "end")).alias("x"))
+    return ends.join(on, ["up", "down"], "left").select("vid", "up", "down", "x.path", "x.start", "x.end")
 
 
 def components(spark, d):
@@ -166,7 +186,7 @@ def handle_packing(spark, d):
 
 QUERIES = {q.__name__: q for q in (
     path_edges, path_bp_offsets, path_lengths, path_spelling, subpaths_between, path_distance_guard, known_novel_vertices, known_novel_edges, vertex_support_filter, edge_support_filter,
-    removable_vertices, edge_support_both_strands, novel_used_share, parsimony_path_choice, redundant_siblings, dp_spell_paths, bfs_first_reference, components, component_alignments,
+    removable_vertices, edge_support_both_strands, novel_used_share, parsimony_path_choice, redundant_siblings, dp_spell_paths, bfs_first_reference, bfs_reference_region, components, component_alignments,
     unchop_chains, renumber_segments, rewrite_walks, subgraph_by_samples, walk_parse, walk_reverse, handle_packing,
 )}
 

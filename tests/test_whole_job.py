@@ -18,3 +18,24 @@ def test_siblings_spell_the_same_to_the_end(spark, tmp_path):
     d = tables(spark, tmp_path, segments=(SEGMENTS, segs), cand_paths=(PATHS, [(i, 1, [2, h]) for i, h in enumerate((4, 6, 8, 11))]))
     # 11 is segment 5 the other way round, ACGTA as well; 6 has only its first letters in common
     assert {tuple(r) for r in Q.redundant_siblings(spark, d).collect()} == {(2, v, w) for v in (4, 8, 11) for w in (4, 8, 11) if v != w}
+
+
+def test_reference_is_found_however_far(spark, tmp_path):
+    # path 10 is the reference; of the others one comes to it after 9 steps, one earlier by a branch, one never
+    walks = [(10, [100, 101]), (1, [*range(1, 10), 101]), (2, [20, 8]), (3, [30, 31, 30])]
+    d = tables(spark, tmp_path, segments=(SEGMENTS, []), cand_paths=(PATHS, [(p, 1, [2 * v for v in w]) for p, w in walks]))
+    want = {(i, 10 - i, 101) for i in range(1, 10)} | {(20, 3, 101)}
+    assert {tuple(r) for r in Q.bfs_first_reference(spark, d).collect()} == want
+
+
+def test_walks_of_any_length_are_spelled(spark, tmp_path):
+    n = 70
+    d = tables(spark, tmp_path, segments=(SEGMENTS, [(str(i), i, "ACGT"[i % 4]) for i in range(n)]), cand_paths=(PATHS, [(3, 1, [2 * i for i in range(n)])]))
+    assert [tuple(r) for r in Q.dp_spell_paths(spark, d).collect()] == [(3, ",".join(str(2 * i) for i in range(n)))]
+
+
+def test_region_between_reference_vertices(spark, tmp_path):
+    walks = [(10, [100, 101, 102]), (1, [100, *range(1, 8), 102]), (2, [8, 102])]
+    segs = [(str(v), v, "ACGTA") for v in (100, 101, 102)]
+    d = tables(spark, tmp_path, segments=(SEGMENTS, segs), cand_paths=(PATHS, [(p, 1, [2 * v for v in w]) for p, w in walks]))
+    assert {tuple(r) for r in Q.bfs_reference_region(spark, d).collect()} == {(i, 100, 102, 10, 0, 10) for i in range(1, 8)}
