@@ -10,6 +10,9 @@ from . import standins as V
 from .standins import with_
 from .tables import table
 
+#: Bases between the ends of a sub-path at most, as in the reference.
+FAR = 20_000
+
 
 def path_edges(spark, d):
     return G.path_edges(V.steps(spark, d)).withColumn("step", F.col("step").cast("bigint"))
@@ -28,7 +31,7 @@ def path_spelling(spark, d):
 
 
 def _pairs(spark, d):
-    s = table(spark, d, "cand_paths").where("size(vertices) > 1 and cp_id % 2 = 0")
+    s = table(spark, d, "cand_paths").where("size(vertices) > 1")
     pairs = s.select(F.col("vertices")[0].alias("h1"), F.element_at("vertices", -1).alias("h2"))
     return pairs.where("h1 is not null and h2 is not null").distinct()
 
@@ -40,7 +43,7 @@ def subpaths_between(spark, d):
 
 def path_distance_guard(spark, d):
     found = G.subpaths(_pairs(spark, d), V.steps(spark, d))
-    near = G.distances(found, G.bp_offsets(V.steps(spark, d), V.segments(spark, d)), 200)
+    near = G.distances(found, G.bp_offsets(V.steps(spark, d), V.segments(spark, d)), FAR)
     return near.select("h1", "h2", "path", F.col("s1").cast("bigint").alias("s1"), "dist")
 
 

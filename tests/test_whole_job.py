@@ -1,5 +1,7 @@
 """Queries over small tables of their own, where a cut of the job would show."""
 
+import random
+
 from strandweave.plans import graph_queries as Q
 
 
@@ -39,3 +41,17 @@ def test_region_between_reference_vertices(spark, tmp_path):
     segs = [(str(v), v, "ACGTA") for v in (100, 101, 102)]
     d = tables(spark, tmp_path, segments=(SEGMENTS, segs), cand_paths=(PATHS, [(p, 1, [2 * v for v in w]) for p, w in walks]))
     assert {tuple(r) for r in Q.bfs_reference_region(spark, d).collect()} == {(i, 100, 102, 10, 0, 10) for i in range(1, 8)}
+
+
+def test_subpaths_of_all_pairs_against_a_loop(spark, tmp_path):
+    r = random.Random(5)
+    paths = {i: [2 * r.randrange(1, 12) + r.randrange(2) for _ in range(r.randrange(1, 9))] for i in range(1, 40)}
+    size = {v: r.choice((1, 150, 9_000, 21_000)) for v in range(1, 12)}
+    d = tables(spark, tmp_path, segments=(SEGMENTS, [(str(v), v, "A" * n) for v, n in size.items()]), cand_paths=(PATHS, [(i, 1, w) for i, w in paths.items()]))
+    near, first = set(), set()
+    for h1, h2 in {(w[0], w[-1]) for w in paths.values() if len(w) > 1}:
+        found = [(p, a, min(b for b in range(a, len(w)) if w[b] == h2)) for p, w in sorted(paths.items()) for a in range(len(w)) if w[a] == h1 and h2 in w[a:]]
+        first |= {(h1, h2, *x) for x in found[:10]}
+        near |= {(h1, h2, p, a, n) for p, a, b in found if (n := sum(size[h >> 1] for h in paths[p][a + 1 : b])) <= 20_000}
+    assert {tuple(x) for x in Q.subpaths_between(spark, d).collect()} == first
+    assert {tuple(x) for x in Q.path_distance_guard(spark, d).collect()} == near
