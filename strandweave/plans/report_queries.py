@@ -17,14 +17,16 @@ from . import standins as V
 from .standins import K, with_
 from .tables import table
 
-#: Anchors a side in these queries.
+#: Anchors a side in these queries, as in the reference.
+ANCHORS = 20
+#: Anchors a side in the SQL, which has fewer.
 MOST = 5
 
 
 def _anchors(spark, d):
     found = Q._hits(spark, d)
     usable = Q.sfs_unique_read_kmers(spark, d)
-    return S.uncovered(found, "rid"), N.nearest_anchors(S.uncovered(found, "rid"), usable, "rid", K, MOST)
+    return S.uncovered(found, "rid"), N.nearest_anchors(S.uncovered(found, "rid"), usable, "rid", K, ANCHORS)
 
 
 def _anchors_side(side):
@@ -41,7 +43,7 @@ anchors_topn_left, anchors_topn_right = _anchors_side("left"), _anchors_side("ri
 def anchors_apart(spark, d):
     """Anchors that don't overlap each other."""
     strings, _ = _anchors(spark, d)
-    return N.apart_anchors(strings, Q.sfs_unique_read_kmers(spark, d), "rid", K, MOST).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
+    return N.apart_anchors(strings, Q.sfs_unique_read_kmers(spark, d), "rid", K, ANCHORS).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
 
 
 def _chosen(spark, d):
@@ -66,13 +68,13 @@ def sfs_dedup(spark, d):
 
 
 def chain_greedy(spark, d):
-    """Chains of left anchors along the chosen path."""
+    """Chains of the anchors of each side along the chosen path."""
     strings, anchors, chosen = _chosen(spark, d)
     on = Q._sketch(spark, d).select("kmer", "vid", F.col("pos").alias("vpos"))
     offs = G.bp_offsets(V.steps(spark, d), V.segments(spark, d)).groupBy("path", "vid").agg(F.max("off").alias("off"))
-    rows = anchors.where("side = 'left'").join(on, "kmer").join(chosen, ["rid", "s", "e"]).join(offs, ["path", "vid"])
-    lists = rows.groupBy("rid", "s", "e").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("off") + F.col("vpos")).alias("at")))).alias("x"))
-    return lists.select("rid", "s", "e", F.size("x").alias("anchors"), F.size(N.greedy_chain(F.col("x.pos"), F.col("x.at"), F.size("x"))).alias("chained"))
+    rows = anchors.join(on, "kmer").join(chosen, ["rid", "s", "e"]).join(offs, ["path", "vid"])
+    lists = rows.groupBy("rid", "s", "e", "side").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("off") + F.col("vpos")).alias("at")))).alias("x"))
+    return lists.select("rid", "s", "e", "side", F.size("x").alias("anchors"), F.size(N.greedy_chain(F.col("x.pos"), F.col("x.at"), F.size("x"))).alias("chained"))
 
 
 def cluster_by_anchor(spark, d):

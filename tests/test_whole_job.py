@@ -3,6 +3,7 @@
 import random
 
 from strandweave.plans import graph_queries as Q
+from strandweave.plans import report_queries as R
 
 
 def tables(spark, folder, **rows):
@@ -55,3 +56,17 @@ def test_subpaths_of_all_pairs_against_a_loop(spark, tmp_path):
         near |= {(h1, h2, p, a, n) for p, a, b in found if (n := sum(size[h >> 1] for h in paths[p][a + 1 : b])) <= 20_000}
     assert {tuple(x) for x in Q.subpaths_between(spark, d).collect()} == first
     assert {tuple(x) for x in Q.path_distance_guard(spark, d).collect()} == near
+
+
+def test_twenty_anchors_a_side_vote_and_both_sides_chain(spark, tmp_path):
+    # around a stretch that the sketch lacks lie seven anchors a side on paths of their own, then 20 a side on a common one
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    far1, near1, gap, near2, far2 = (word(n) for n in (30, 27, 15, 17, 30))
+    segs = [(str(i), i, s) for i, s in enumerate((far1, near1, near2, far2), 1)]
+    d = tables(spark, tmp_path, segments=(SEGMENTS, segs), cand_paths=(PATHS, [(1, 1, [2, 8]), (2, 1, [4]), (3, 1, [6])]), sfs=("sfs_id long, plain_seq string", [(1, far1 + near1 + gap + near2 + far2)]))
+    at = f"s = {len(far1 + near1) - 10}"
+    for q in (R.anchors_topn_left, R.anchors_topn_right):
+        assert {x.r for x in q(spark, d).where(at).collect()} == set(range(1, 21))
+    assert [(x.path, x.nl, x.nr) for x in R.anchor_best_path(spark, d).where(at).collect()] == [(1, 13, 13)]
+    assert {(x.side, x.anchors, x.chained) for x in R.chain_greedy(spark, d).where(at).collect()} == {("left", 13, 13), ("right", 13, 13)}
