@@ -103,16 +103,17 @@ def sfs_full(spark, d):
 
 
 def revcomp_slices(spark, d):
-    """Slices of segments with their reverse complements."""
-    s = V.panel(spark, d).where("length(seq) >= 12")
-    part = F.substring("seq", 3, 10)
-    return s.select("vid", part.alias("slice"), X.reverse_complement(part).alias("rc"), X.canonical(part).alias("canonical"))
+    """Segments in slices of ten letters, the last one as long as is left, with their reverse complements."""
+    at = F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(10))).alias("at")
+    s = V.panel(spark, d).where("length(seq) > 0").select("vid", "seq", at)
+    part = F.substring("seq", F.col("at") + 1, F.lit(10))
+    return s.select("vid", F.col("at").cast("bigint").alias("at"), part.alias("slice"), X.reverse_complement(part).alias("rc"), X.canonical(part).alias("canonical"))
 
 
 def kmer_encode_decode(spark, d):
-    """Codes of the first 21 letters of segments, and back."""
-    s = V.panel(spark, d).select("vid", F.substring("seq", 1, 21).alias("w")).withColumn("code", X.encode(F.col("w"), 21))
-    return s.where("code is not null").select("vid", "code", X.decode(F.col("code"), 21).alias("word"))
+    """Codes of all words of 21 letters of segments, and back."""
+    s = V.panel(spark, d).select("vid", F.posexplode(X.words(F.col("seq"), 21)).alias("pos", "w")).withColumn("code", X.encode(F.col("w"), 21))
+    return s.where("code is not null").select("vid", F.col("pos").cast("bigint").alias("pos"), "code", X.decode(F.col("code"), 21).alias("word"))
 
 
 def overlapping_windows(spark, d):
@@ -122,9 +123,10 @@ def overlapping_windows(spark, d):
 
 
 def homopolymer_runs(spark, d):
-    """Length of the run at every tenth position of a segment."""
-    s = V.segments(spark, d).select("vid", "seq", F.explode(F.sequence(F.lit(0), F.col("len").cast("int") - 1, F.lit(10))).alias("at"))
-    return s.select("vid", F.col("at").cast("bigint").alias("at"), X.run_length(F.col("seq"), F.col("at")).cast("bigint").alias("run"))
+    """At every position of a segment, the length of the run from there on."""
+    runs = F.regexp_extract_all("seq", F.lit("(.)\\1*"), F.lit(0))
+    s = V.segments(spark, d).select("vid", F.flatten(F.transform(runs, lambda x: F.sequence(F.length(x), F.lit(1), F.lit(-1)))).alias("x"))
+    return s.select("vid", F.posexplode("x").alias("at", "run")).select("vid", F.col("at").cast("bigint").alias("at"), F.col("run").cast("bigint").alias("run"))
 
 
 def n_content(spark, d):

@@ -3,6 +3,7 @@
 import random
 
 from strandweave.plans import graph_queries as Q
+from strandweave.plans import kmer_queries as M
 from strandweave.plans import report_queries as R
 
 
@@ -70,3 +71,17 @@ def test_twenty_anchors_a_side_vote_and_both_sides_chain(spark, tmp_path):
         assert {x.r for x in q(spark, d).where(at).collect()} == set(range(1, 21))
     assert [(x.path, x.nl, x.nr) for x in R.anchor_best_path(spark, d).where(at).collect()] == [(1, 13, 13)]
     assert {(x.side, x.anchors, x.chained) for x in R.chain_greedy(spark, d).where(at).collect()} == {("left", 13, 13), ("right", 13, 13)}
+
+
+def test_whole_segments_take_part(spark, tmp_path):
+    r = random.Random(2)
+    texts = ["ACGTTTTTTTTTTGGGGA", "A", "".join(r.choice("ACGT") for _ in range(57)), "".join(r.choice("ACCCCN") for _ in range(40))]
+    d = tables(spark, tmp_path, segments=(SEGMENTS, [(str(i), i, t) for i, t in enumerate(texts)]))
+    runs = {(i, a, len(t[a:]) - len(t[a:].lstrip(t[a]))) for i, t in enumerate(texts) for a in range(len(t))}
+    assert sorted(tuple(x) for x in M.homopolymer_runs(spark, d).collect()) == sorted(runs)
+    words = {(i, a, t[a : a + 21]) for i, t in enumerate(texts) for a in range(len(t) - 20) if "N" not in t[a : a + 21]}
+    got = M.kmer_encode_decode(spark, d).collect()
+    assert {(x.vid, x.pos, x.word) for x in got} == words and all(int("".join(str("ACGT".index(c)) for c in x.word), 4) == x.code for x in got)
+    slices = M.revcomp_slices(spark, d).orderBy("vid", "at").collect()
+    assert ["".join(x.slice for x in slices if x.vid == i) for i in range(len(texts))] == texts
+    assert all(x.rc == x.slice[::-1].translate(str.maketrans("ACGT", "TGCA")) and x.canonical == min(x.slice, x.rc) for x in slices)
