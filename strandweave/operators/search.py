@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.lineage import cut
 from ..functions.seqexpr import reverse_complement
 from .intervals import islands
 
@@ -44,11 +45,73 @@ def minimal_absent(reads: DataFrame, panel: DataFrame, key: str, seq: str, longe
             F.when(F.col("mid").isNotNull() & F.col("has").isNotNull(), F.col("mid")).otherwise(F.col("lo")).alias("lo"),
             F.when(F.col("mid").isNotNull() & F.col("has").isNull(), F.col("mid")).otherwise(F.col("hi")).alias("hi"),
         )
-    least = state.select(key, "s", F.when(F.col("hi") <= F.length("x"), F.col("hi")).alias("l"))
+    return _minimal(state.select(key, "s", F.when(F.col("hi") <= F.length("x"), F.col("hi")).alias("l")), key)
+
+
+def _minimal(least: DataFrame, key: str) -> DataFrame:
+    """(key, s, l) of the shortest absent lengths l of all starts, null for none, that no later start reaches within."""
     follow = F.lead("l").over(Window.partitionBy(key).orderBy("s"))
     return least.withColumn("n", follow).where("l is not null and (l = 1 or n is null or n >= l)").select(key, "s", "l")
 
 
+def _present(words: DataFrame, panel: DataFrame, seq: str, longest: int) -> DataFrame:
+    """(w, lo): how many letters each of the distinct words has in the panel from its start on, by binary search."""
+    held = cut(panel_words(panel, seq, longest)).select(F.col("w").alias("part"), F.lit(True).alias("has"))
+    state = words.select("w", F.lit(0).alias("lo"), (F.length("w") + 1).alias("hi"))
+    for _ in range(longest.bit_length()):
+        asked = state.withColumn("mid", F.when(F.col("hi") - F.col("lo") > 1, ((F.col("lo") + F.col("hi")) / 2).cast("int")))
+        met = asked.withColumn("part", F.substring("w", F.lit(1), F.col("mid"))).join(held, "part", "left")
+        ok, open_ = F.col("has").isNotNull(), F.col("mid").isNotNull()
+        state = met.select("w", F.when(open_ & ok, F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(open_ & ~ok, F.col("mid")).otherwise(F.col("hi")).alias("hi"))
+    return state.select("w", "lo")
+
+
+def _common(a: Column, b: Column, longest: int) -> Column:
+    """Letters that both texts have in common from their start on, up to ``longest``."""
+    steps = F.array(*(F.lit(1 << j) for j in reversed(range(longest.bit_length()))))
+    same = lambda n, k: (n + k <= F.least(F.length(a), F.length(b))) & (F.substring(a, n + 1, k) == F.substring(b, n + 1, k))
+    return F.aggregate(steps, F.lit(0), lambda n, k: n + F.when(same(n, k), k).otherwise(F.lit(0)))
+
+
+def minimal_absent_whole(reads: DataFrame, panel: DataFrame, key: str, seq: str, first: int = 10) -> DataFrame:
+    """As ``minimal_absent``, with no bound on the length and no bound on the panel.
+
+    Words of ``first`` letters are looked up, each distinct one once. A start with all of them in
+    the panel is sorted among the panel's suffixes with the same letters; its longest match is the
+    longer of those with its neighbours there. Suffixes are compared as far as twice the letters
+    known, and what matches that far goes into another round, until no start is left undecided.
+    """
+    text, width = F.upper(F.col(seq)), 2 * first
+    from_ = lambda s, size: F.substring(text, s + 1, F.lit(size))
+    rows = reads.where(F.length(seq) > 0).select(key, F.length(text).alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda s: from_(s, width))).alias("s", "x"))
+    starts = rows.select(key, "s", (F.col("n") - F.col("s")).alias("n"), "x", F.substring("x", 1, first).alias("w"))
+    known = starts.join(_present(starts.select("w").distinct(), panel, seq, first), "w")
+    short = F.col("lo") < F.least("n", F.lit(first))
+    known = known.select(key, "s", "n", "x", F.when(short, F.col("lo") + 1).alias("l"), (~short & (F.col("n") > first)).alias("open"))
+    known, decided = cut(known), None
+    strands = panel.select(F.explode(F.array(F.upper(seq), reverse_complement(F.upper(F.col(seq))))).alias("t"))
+    pieces = strands.select(F.explode(F.split("t", "[^ACGT]+")).alias("t"))
+    while True:
+        done = known.where("not open").select(key, "s", "l")
+        decided = done if decided is None else decided.unionByName(done)
+        rest = known.where("open")
+        if rest.isEmpty():
+            return _minimal(decided, key)
+        had = width // 2
+        long = pieces.where(F.length("t") >= had)
+        suffixes = long.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - had + 1), lambda i: F.substring("t", i, F.lit(width)))).alias("y")).distinct()
+        mixed = rest.select(key, "s", "n", "x").unionByName(suffixes.select(F.col("y").alias("x"), "y"), allowMissingColumns=True).withColumn("w", F.substring("x", 1, had))
+        near = [F.last("y", True).over(Window.partitionBy("w").orderBy(o, F.col("y").isNull()).rowsBetween(Window.unboundedPreceding, 0)) for o in (F.col("x").asc(), F.col("x").desc())]
+        met = mixed.select("*", near[0].alias("a"), near[1].alias("b")).where("s is not null")
+        size = F.greatest(*(F.coalesce(_common(F.col("x"), F.col(c), width), F.lit(0)) for c in "ab"))
+        known = met.select(key, "s", "n", size.alias("m"))
+        short = F.col("m") < F.least("n", F.lit(width))
+        known = cut(known.select(key, "s", "n", F.when(short, F.col("m") + 1).alias("l"), (~short & (F.col("n") > width)).alias("open")))
+        width *= 2
+        again = known.where("open").select(key, "s", "n", "l", "open").join(reads.select(key, text.alias("t")), key)
+        known = known.where("not open").withColumn("x", F.lit(None).cast("string")).unionByName(again.select(key, "s", "n", "l", "open", F.substring("t", F.col("s") + 1, F.lit(width)).alias("x")))
+
+
 _CODE = np.zeros(256, np.int64)
 for _i, _c in enumerate(b"ACGT"):
     _CODE[_c] = _CODE[_c + 32] = _i + 1

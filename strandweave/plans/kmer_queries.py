@@ -11,7 +11,7 @@ from . import standins as V
 from .standins import K, with_
 from .tables import table
 
-#: Longest word of the bounded search in these queries.
+#: Longest word of the search in the SQL; the queries have no bound.
 LONGEST = 10
 
 
@@ -84,11 +84,11 @@ def sfs_unique_read_kmers(spark, d):
 
 
 def _absent(spark, d):
-    return search.minimal_absent(V.reads(spark, d), V.panel(spark, d), "rid", "seq", LONGEST)
+    return search.minimal_absent_whole(V.reads(spark, d), V.panel(spark, d), "rid", "seq")
 
 
 def sfs_bounded(spark, d):
-    """Shortest substrings of reads, up to ten letters, that the panel lacks: by length, with a checksum of their places."""
+    """Shortest substrings of reads that the panel lacks, of any length: by length, with a checksum of their places."""
     return _absent(spark, d).groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("rid") % 1000) * (F.col("s") + 1)).alias("places"))
 
 
@@ -97,9 +97,8 @@ def sfs_assembled(spark, d):
 
 
 def sfs_full(spark, d):
-    """Shortest absent substrings of any length, by a suffix index of the panel."""
-    found = search.minimal_absent_any(V.reads(spark, d), V.panel(spark, d), "rid", "seq")
-    return found.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    """Shortest absent substrings of any length, by length."""
+    return _absent(spark, d).groupBy("l").agg(F.count(F.lit(1)).alias("n"))
 
 
 def revcomp_slices(spark, d):

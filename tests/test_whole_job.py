@@ -1,6 +1,7 @@
 """Queries over small tables of their own, where a cut of the job would show."""
 
 import random
+from collections import Counter
 
 from strandweave.plans import graph_queries as Q
 from strandweave.plans import kmer_queries as M
@@ -85,3 +86,32 @@ def test_whole_segments_take_part(spark, tmp_path):
     slices = M.revcomp_slices(spark, d).orderBy("vid", "at").collect()
     assert ["".join(x.slice for x in slices if x.vid == i) for i in range(len(texts))] == texts
     assert all(x.rc == x.slice[::-1].translate(str.maketrans("ACGT", "TGCA")) and x.canonical == min(x.slice, x.rc) for x in slices)
+
+
+def test_absent_strings_of_any_length(spark, tmp_path):
+    from .test_sequences import absent
+
+    r = random.Random(4)
+    word = lambda n, of="ACGT": "".join(r.choice(of) for _ in range(n))
+    panel = [word(r.randrange(1, 120)) for _ in range(6)] + [word(60, "AC"), word(50) + "NN" + word(50)]
+    inner = [word(n) for n in (9, 11, 17, 18, 19, 38, 70)]
+    panel += [x for u in inner for x in ("A" + u, u + "C")]  # so that A + u + C is absent, and nothing in it
+    rc = lambda t: t[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads = [p[r.randrange(5) :] + word(3) for p in panel] + [rc(p) for p in panel] + [word(40), word(40, "AC"), panel[0] + "N" + panel[1], "A", panel[5] + panel[4]]
+    reads += ["A" + u + "C" for u in inner] + [rc("A" + u + "C") for u in inner]
+    d = tables(spark, tmp_path, segments=(SEGMENTS, [(str(i), i, t) for i, t in enumerate(panel)]), sfs=("sfs_id long, plain_seq string", list(enumerate(reads))))
+    want = absent(enumerate(reads), panel, 1000)
+    assert {11, 13, 19, 20, 21, 40, 72} <= {n for _, _, n in want}
+    got = {x.l: (x.n, x.places) for x in M.sfs_bounded(spark, d).collect()}
+    assert got == {n: (sum(x[2] == n for x in want), sum(i * (s + 1) for i, s, m in want if m == n)) for n in {x[2] for x in want}}
+    assert {x.l: x.n for x in M.sfs_full(spark, d).collect()} == Counter(x[2] for x in want)
+    joined = set()
+    for i in {x[0] for x in want}:
+        own = []
+        for s, n in sorted(x[1:] for x in want if x[0] == i):
+            if own and s < own[-1][1]:
+                own[-1][1] = max(own[-1][1], s + n)
+            else:
+                own.append([s, s + n])
+        joined |= {(i, s, e - s) for s, e in own}
+    assert {tuple(x) for x in M.sfs_assembled(spark, d).collect()} == joined
