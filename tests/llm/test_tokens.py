@@ -124,6 +124,27 @@ def test_split(spark, size, halo):
     assert S.split_texts(df.where("false"), budgets).count() == 0
 
 
+@pytest.mark.parametrize("grid, halo, sizes", [(300, 60, (300, 900, 1 << 20)), (S.GRID, S.HALO, (1 << 14, 1 << 20))])
+def test_pieces_dont_depend_on_the_ranges(spark, grid, halo, sizes):
+    r = random.Random(8)
+    words = "The gap opened again. It was small,\nbut it stayed! Nobody\n\nknew why? 漢字かな。 été 0123 ''store it's  \t x".split(" ")
+    texts = [(i, " ".join(r.choice(words) for _ in range(r.randrange(6000)))) for i in range(8)]
+    texts += [(100, None), (101, ""), (102, "ACGT" * 6000), (103, "漢字" * 6000), (104, "🙂" * 5000), (105, "0123456789" * 2000), (106, "a\n" * 9000), (107, " " * 20000), (108, "'" * 17000), (109, ODD[12] * 200)]
+    budgets = [S.Budget(1, 256, 32), S.Budget(2, 40, 0)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    found = [sorted(map(tuple, S.split_texts(df, budgets, size=n, halo=halo, grid=grid).collect())) for n in sizes]
+    assert all(x == found[0] for x in found)
+    verify(texts, S.split_texts(df, budgets, size=sizes[0], halo=halo, grid=grid).collect(), budgets)
+
+
+def test_overlaps_are_whole(spark):
+    text = " ".join(random.Random(3).choice(("one", "two.", "three\n", "fourteen")) for _ in range(5000))
+    rows = sorted(S.split_texts(spark.createDataFrame([(1, text)], "id long, text string"), [S.Budget(1, 128, 16)]).collect(), key=lambda r: r.piece)
+    encode = encoder(PATH).encode_ordinary
+    raw = text.encode()
+    assert all(abs(len(encode(raw[y.start : x.end].decode())) - 16) <= 3 for x, y in zip(rows, rows[1:]))
+
+
 def test_cuts_prefer_natural_ends(spark):
     text = "One two three four five six. " * 3 + "\n\n" + "Seven eight nine ten. " * 8
     got = sorted(S.split_texts(spark.createDataFrame([(1, text)], "id long, text string"), [S.Budget(1, 40, 4)]).collect(), key=lambda r: r.piece)
