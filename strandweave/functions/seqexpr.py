@@ -39,6 +39,16 @@ def decode(code: Column, k: int) -> Column:
     return F.when(ok, F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT"))
 
 
+def reverse_complement_code(code: Column, k: int) -> Column:
+    """Of a 2-bit code of k letters; bit operations only."""
+    _check(k)
+    x = F.bitwise_not(code)
+    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        m = F.lit(mask).cast("bigint")
+        x = F.shiftrightunsigned(x, shift).bitwiseAND(m).bitwiseOR(F.shiftleft(x.bitwiseAND(m), shift))
+    return F.shiftrightunsigned(x, 64 - 2 * k)
+
+
 def words(seq: Column, k: int, step: int = 1) -> Column:
     """Array of all words of k letters; null for shorter sequences."""
     return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1, F.lit(step)), lambda i: F.substring(seq, i, F.lit(k))))
