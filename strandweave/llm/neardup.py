@@ -19,16 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.letters import chunks, letters, ranges, row_of
+from ..functions.lineage import cut
+from ..operators.graph import components
 from .records import slices
 
 #: Bits of the bitmap of a set.
 BITS = 512
 #: Bits after which rows out of reach are given up.
 STEP = 64
-#: Cells of the histograms of block keys; their size is the bound on what is broadcast.
+#: Crowded keys are fewer than this, as the limit of rows grows with the table beyond CELLS * CROWDED rows; it is the bound on what is broadcast.
 CELLS = 1 << 20
-#: Rows in one cell from which a block is split.
+#: Rows of one key from which its block is split.
 CROWDED = 16_384
+#: Bits of the number of a part of a block.
+PART = 21
 #: Rows worked on at once, at least.
 ROWS = 8_192
 
@@ -233,10 +237,10 @@ def block_pairs(table: pa.Table, k: int, t_num: int, t_den: int):
     planes = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
     t = t_num / t_den
     i, j = candidates(planes, bits, size, block_end, t)
-    # the blocks of hashed keys may hold several true ones
+    # blocks of hashed keys may hold several true ones
     fine = (anchor[i] == anchor[j]) & (token[i] == token[j]) & (cell[i] == cell[j]) & (ids[i] != ids[j])
     # a split block compares part x with part y only, and x with itself only where the cell is (x, x)
-    x, y = cell[i] >> 16, cell[i] & 65535
+    x, y = cell[i] >> PART, cell[i] & ((1 << PART) - 1)
     pi, pj = part[i], part[j]
     fine &= (np.minimum(pi, pj) == np.minimum(x, y)) & (np.maximum(pi, pj) == np.maximum(x, y))
     i, j = i[fine], j[fine]
@@ -256,27 +260,38 @@ def block_pairs(table: pa.Table, k: int, t_num: int, t_den: int):
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def near_duplicates(rows: DataFrame, k: int = 15, t_num: int = 1, t_den: int = 2, crowded: int = CROWDED) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of rows (id, v1, v2, text) that have an anchor in
-    common and sets of canonical k-mers with a Jaccard index of t_num / t_den or more.
-
-    Rows with a null id or text, or without anchor, take no part, nor do texts with an empty set;
-    an anchor given twice counts once. Equal texts are pairs like others. No pair is lost: blocks
-    are split by k-mers, and crowded ones of these into parts that all meet, but never capped.
-    """
-    spark = rows.sparkSession
+def _base(rows: DataFrame) -> DataFrame:
     base = rows.select("id", "v1", "v2", "text").where("id is not null and text is not null and (v1 is not null or v2 is not null)")
-    base = base.select("id", F.coalesce("v1", "v2").alias("v1"), F.coalesce("v2", "v1").alias("v2"), "text")
-    cell_of = lambda *c: F.pmod(F.xxhash64(*c), F.lit(CELLS)).cast("int")
-    anchors = base.withColumn("anchor", F.explode(F.array_distinct(F.array("v1", "v2"))))
+    return base.select("id", F.coalesce("v1", "v2").alias("v1"), F.coalesce("v2", "v1").alias("v2"), "text")
+
+
+def further_copies(rows: DataFrame) -> DataFrame:
+    """(id, rep): rows whose text (case ignored) and pair of anchors another row of a lower id has too, with the lowest of these.
+
+    Hashes find the few rows that may have a copy, the texts themselves decide. A class of copies is never gathered."""
+    base = _base(rows).select("id", F.least("v1", "v2").alias("low"), F.greatest("v1", "v2").alias("high"), F.upper("text").alias("u"))
+    key = ["low", "high", "h"]
+    hashed = base.withColumn("h", F.xxhash64("u"))
+    likely = hashed.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = cut(hashed.join(likely, key, "left_semi").select("id", "low", "high", "u"))
+    lowest = met.groupBy("low", "high", "u").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return met.join(lowest, ["low", "high", "u"]).where("id <> rep").select("id", "rep")
+
+
+def _crowds(df: DataFrame, key: list[str], crowded: int) -> DataFrame | None:
+    """(key..., parts): the keys of more rows than the limit and the parts they are split into; None if there are none.
+
+    The limit is ``crowded``, or one CELLS-th of all rows where that is more, so there are fewer than CELLS such keys."""
+    counts = cut(df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+    limit = max(crowded, (counts.agg(F.sum("n")).first()[0] or 0) // CELLS)
+    found = counts.where(F.col("n") > limit).select(*key, F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    return None if found.isEmpty() else F.broadcast(found)
 
-    def crowds(df, cell):
-        """At most CELLS cells with more rows than ``crowded``, with their numbers; a cell that only seems crowded costs time, not pairs."""
-        n = df.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded)
-        return {r.cell: r.n for r in n.collect()}
 
-    hot = crowds(anchors.select("anchor"), cell_of("anchor"))
-    hot_cells = spark.sparkContext.broadcast(np.array(sorted(hot), np.int64))
+def representative_pairs(rows: DataFrame, copies: DataFrame, k: int = 15, t_num: int = 1, t_den: int = 2, crowded: int = CROWDED) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: the near-duplicates among the rows without the further copies; see ``near_duplicates``."""
+    base = _base(rows).join(copies.select("id"), "id", "left_anti")
+    anchors = base.withColumn("anchor", F.explode(F.array_distinct(F.array("v1", "v2"))))
 
     def pairs(df):
         def work(batches):
@@ -288,21 +303,10 @@ def near_duplicates(rows: DataFrame, k: int = 15, t_num: int = 1, t_den: int = 2
 
     fixed = [F.lit(0).cast("bigint").alias("token"), F.lit(0).cast("bigint").alias("cell"), F.lit(0).alias("part")]
     cols = ["id", "v1", "v2", "text"]
-    if not hot:
+    hot = _crowds(_base(rows).select(F.explode(F.array_distinct(F.array("v1", "v2"))).alias("anchor")), ["anchor"], crowded)
+    if hot is None:
         return pairs(anchors.select(F.col("anchor").alias("block"), "anchor", *fixed, *cols))
-
-    hot_list = F.array(*(F.lit(c) for c in sorted(hot))) if len(hot) <= 1000 else None
-    if hot_list is not None:
-        is_hot = F.array_contains(hot_list, cell_of("anchor"))
-    else:
-
-        @F.arrow_udf("boolean")
-        def listed(cell: pa.Array) -> pa.Array:
-            return pa.array(np.isin(cell.to_numpy(zero_copy_only=False), hot_cells.value))
-
-        is_hot = listed(cell_of("anchor"))
-    marked = anchors.withColumn("hot", is_hot)
-    cold = pairs(marked.where("not hot").select(F.col("anchor").alias("block"), "anchor", *fixed, *cols))
+    cold = pairs(anchors.join(hot, "anchor", "left_anti").select(F.col("anchor").alias("block"), "anchor", *fixed, *cols))
 
     def by_token(batches):
         """A row for each k-mer in the prefix of the set, in scrambled order."""
@@ -322,19 +326,54 @@ def near_duplicates(rows: DataFrame, k: int = 15, t_num: int = 1, t_den: int = 2
             key = np.where(key == 0, _ALL, key).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(who) for c in ("anchor", *cols)), pa.array(key)], names=["anchor", *cols, "token"])
 
-    tokens = marked.where("hot").select("anchor", *cols).mapInArrow(by_token, "anchor bigint, id bigint, v1 bigint, v2 bigint, text string, token bigint")
-    dense = crowds(tokens.select("anchor", "token"), cell_of("anchor", "token"))
-    if not dense:
+    tokens = anchors.join(hot, "anchor", "left_semi").select("anchor", *cols).mapInArrow(by_token, "anchor bigint, id bigint, v1 bigint, v2 bigint, text string, token bigint")
+    dense = _crowds(tokens.select("anchor", "token"), ["anchor", "token"], crowded)
+    if dense is None:
         return cold.unionByName(pairs(tokens.select(F.xxhash64("anchor", "token").alias("block"), "anchor", "token", *fixed[1:], *cols)))
+    # all pairs of parts (x, y), x <= y: a row of part p goes to (p, y) and (x, p); keys that aren't crowded have one part
+    split = tokens.join(dense, ["anchor", "token"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    split = split.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    to = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, "part").cast("bigint") * (1 << PART) + F.greatest(o, "part"))
+    split = split.withColumn("cell", F.explode(to))
+    return cold.unionByName(pairs(split.select(F.xxhash64("anchor", "token", "cell").alias("block"), "anchor", "token", "cell", "part", *cols)))
 
-    parts_of = spark.sparkContext.broadcast({c: min(65_535, -(-n // crowded)) for c, n in dense.items()})
 
-    @F.arrow_udf("int")
-    def parts(cell: pa.Array) -> pa.Array:
-        return pa.array([parts_of.value.get(c, 1) for c in cell.to_pylist()], pa.int32())
+def near_duplicates(rows: DataFrame, k: int = 15, t_num: int = 1, t_den: int = 2, crowded: int = CROWDED) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of rows (id, v1, v2, text) that have an anchor in
+    common and sets of canonical k-mers with a Jaccard index of t_num / t_den or more.
 
-    # all pairs of parts (x, y), x <= y: a row of part p goes to (p, y) and (x, p)
-    split = tokens.withColumn("parts", parts(cell_of("anchor", "token"))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    to = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, "part").cast("bigint") * 65_536 + F.greatest(o, "part"))
-    split = split.withColumn("cell", F.explode(to))
-    return cold.unionByName(pairs(split.select(F.xxhash64("anchor", "token", "cell").alias("block"), "anchor", "token", "cell", "part", *cols)))
+    Rows with a null id or text, or without anchor, take no part, nor do texts with an empty set;
+    an anchor given twice counts once. No pair is lost: blocks are split by k-mers, and crowded
+    ones of these into parts that all meet, but never capped. Copies (same text, case ignored, on
+    the same anchors) are compared once and put in for each other at the end, as this result
+    names every pair; ``near_classes`` doesn't.
+    """
+    copies = cut(further_copies(rows))
+    found = representative_pairs(rows, copies, k, t_num, t_den, crowded)
+    if copies.isEmpty():
+        return found
+    of = lambda name: copies.select(F.col("rep").alias("r"), F.col("id").alias(name))
+    pair = found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    # texts with no k-mer at all are near nothing, not even their copies
+    some = _base(rows).where(F.col("text").rlike(f"[ACGTacgt]{{{k}}}")).select(F.col("id").alias("rep"))
+    same = copies.join(some, "rep", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    within = same.join(of("c"), F.col("a") == F.col("r")).where("b < c").select(F.col("b").alias("a"), F.col("c").alias("b"))
+    every = pair.unionByName(pair.join(of("c"), F.col("a") == F.col("r")).select(F.col("c").alias("a"), "b"))
+    every = every.unionByName(every.join(of("c"), F.col("b") == F.col("r")).select("a", F.col("c").alias("b")))
+    every = every.unionByName(same).unionByName(within)
+    return every.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+
+
+def near_classes(rows: DataFrame, k: int = 15, t_num: int = 1, t_den: int = 2, crowded: int = CROWDED) -> DataFrame:
+    """(id, class, n_links, group): each row that has an id, a text and an anchor, with its class of copies
+    (named by the lowest id), the number of other classes near it, and its group, the lowest id
+    that can be reached over near pairs. Nothing is expanded into pairs of copies."""
+    copies = cut(further_copies(rows))
+    found = cut(representative_pairs(rows, copies, k, t_num, t_den, crowded))
+    own = _base(rows).select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("class"))
+    ends = found.select(F.explode(F.array("id_a", "id_b")).alias("class"))
+    links = ends.groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = ends.distinct().select(F.col("class").alias("vid"))
+    group = components(linked, found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).select(F.col("vid").alias("class"), F.col("component").alias("group"))
+    out = own.join(links, "class", "left").join(group, "class", "left")
+    return out.select("id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group", "class").alias("group"))

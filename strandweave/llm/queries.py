@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..functions.seqexpr import reverse_complement_code
 from ..plans.tables import table
 from .bpe import vocabulary
 from .encode import encode_texts, token_counts
-from .neardup import near_duplicates
+from .neardup import near_classes, near_duplicates
 from .records import named, sequence_records, usable
 from .pack import packed
 from .runs import collapse_units
-from .spans import shared_letters
+from .spans import repeated_letters, shared_letters
 from .split import Budget, split_texts
 from .survivor import best_spans, consensus_value, plain_name
-from .terms import reverse_complement_code, term_counts, term_pairs, vector_terms
+from .terms import term_counts, term_pairs, vector_terms
 
 #: Fixed value: letters in the k-mers of the table sketch.
 SKETCH_K = 21
@@ -26,12 +28,18 @@ def p2_found(spark, sf_dir):
     return found.select(*named(), F.col("n_shared").cast("int").alias("n_shared"))
 
 
+def p2_removed(spark, sf_dir):
+    """Letters of each record that are to go where each stretch of 50 or more is to stay in its first place only."""
+    found = repeated_letters(sequence_records(spark, sf_dir), 50)
+    return found.select(*named(), F.col("n_shared").cast("int").alias("n_removed"))
+
+
 def _terms(spark, sf_dir):
     """Counts of all terms of both tables, with the number of records of each table."""
     code = F.col("sxs")
     sketch = table(spark, sf_dir, "sketch").where("sxs >= 0").select("sketch_id", F.least(code, reverse_complement_code(code, SKETCH_K)).alias("term"))
-    vectors = table(spark, sf_dir, "cand_paths").select("kcounts")
-    pairs = term_pairs(sketch, "sketch", "term", "sketch_id").unionByName(vector_terms(vectors, "kcounts", "kcounts"))
+    vectors = table(spark, sf_dir, "cand_paths").select("cp_id", "kcounts")
+    pairs = term_pairs(sketch, "sketch", "term", "sketch_id").unionByName(vector_terms(vectors, "kcounts", "kcounts", "cp_id"))
     records = (
         sketch.where("sketch_id is not null").select("sketch_id").distinct().agg(F.count(F.lit(1)).alias("records")).withColumn("src", F.lit("sketch"))
     ).unionByName(vectors.where(F.size("kcounts") > 0).agg(F.count(F.lit(1)).alias("records")).withColumn("src", F.lit("kcounts")))
@@ -63,19 +71,30 @@ def p6_found(spark, sf_dir):
 
 
 def p6_consensus(spark, sf_dir):
-    """For each consensus name the alignment path closest to the vote of all, trusted aligners weighing more."""
+    """For each consensus name the record whose span and nm are closest to the vote of all records, trusted aligners weighing more."""
     aligners = table(spark, sf_dir, "aligners").where("aligner is not null").select("aligner", "trust_rank")
-    gaf = table(spark, sf_dir, "gaf").select("name", "path", "aligner").join(aligners, "aligner", "left")
-    named_rows = gaf.withColumn("key", plain_name(F.col("name")))
+    gaf = table(spark, sf_dir, "gaf").where("qs >= 0 and qs < qe and qe <= qlen").select("name", "qs", "qe", "nm", "aligner").join(aligners, "aligner", "left")
+    token = lambda kind, c: F.when(F.col(c) >= 0, F.concat(F.lit(kind), F.col(c).cast("string")))
+    rows = gaf.select(plain_name(F.col("name")).alias("key"), F.concat_ws(" ", token("s", "qs"), token("e", "qe"), token("n", "nm")).alias("value"), "trust_rank")
     weight = F.lit(1.0) / F.coalesce("trust_rank", F.lit(100))
-    return consensus_value(named_rows, "key", "path", weight, "[<>][^<>]+").select(F.col("key").alias("name"), F.col("value").alias("path"), "n_values")
+    part = lambda kind: F.regexp_extract("value", f"{kind}([0-9]+)", 1).try_cast("bigint")
+    found = consensus_value(rows, "key", "value", weight, "[^ ]+")
+    return found.select(F.col("key").alias("name"), part("s").alias("qs"), part("e").alias("qe"), F.coalesce(part("n"), F.lit(-1)).cast("int").alias("nm"), "n_values")
+
+
+def _anchored(spark, sf_dir):
+    sfs = table(spark, sf_dir, "sfs").where(usable("plain_seq"))
+    return sfs.select(F.col("sfs_id").alias("id"), F.col("sv").alias("v1"), F.col("ev").alias("v2"), F.col("plain_seq").alias("text"))
 
 
 def p7_found(spark, sf_dir):
     """Pairs of specific strings on a common anchor that differ by small changes only."""
-    sfs = table(spark, sf_dir, "sfs").where(usable("plain_seq"))
-    rows = sfs.select(F.col("sfs_id").alias("id"), F.col("sv").alias("v1"), F.col("ev").alias("v2"), F.col("plain_seq").alias("text"))
-    return near_duplicates(rows).select(F.col("id_a").alias("sfs_id_a"), F.col("id_b").alias("sfs_id_b"))
+    return near_duplicates(_anchored(spark, sf_dir)).select(F.col("id_a").alias("sfs_id_a"), F.col("id_b").alias("sfs_id_b"))
+
+
+def p7_groups(spark, sf_dir):
+    """Each anchored specific string with its class of copies, its number of links to other classes, and its group."""
+    return near_classes(_anchored(spark, sf_dir)).select(F.col("id").alias("sfs_id"), F.col("class").alias("class_id"), "n_links", F.col("group").alias("group_id"))
 
 
 def _documents(spark, sf_dir):
@@ -103,6 +122,21 @@ def p9_packed(spark, sf_dir):
     return out.select("budget_id", F.col("id").alias("doc_id"), "part", F.col("n").alias("n_tokens"), "container")
 
 
+def p9_invariants(spark, sf_dir):
+    """What must hold of the containers of each budget: every text once, none overfull, none split without need, well filled."""
+    items = cut(p9_packed(spark, sf_dir))
+    most = table(spark, sf_dir, "token_budgets").where("purpose = 'pack'").select("budget_id", "max_tokens")
+    each = items.groupBy("budget_id", "doc_id").agg(F.count(F.lit(1)).alias("parts"), F.count_distinct("part").alias("kinds"), F.sum("n_tokens").alias("n")).join(F.broadcast(most), "budget_id")
+    texts = each.groupBy("budget_id").agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if((F.col("parts") > 1) & (F.col("n") <= F.col("max_tokens"))).alias("split_small"),
+        F.count_if((F.col("parts") != F.col("kinds")) | (F.col("parts") != F.greatest(F.ceil(F.col("n") / F.col("max_tokens")), F.lit(1)))).alias("wrong_parts"),
+    )
+    loads = items.where("n_tokens > 0").groupBy("budget_id", "container").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(most), "budget_id")
+    full = loads.groupBy("budget_id").agg(F.count_if(F.col("n") > F.col("max_tokens")).alias("overfull"), (F.sum("n") >= F.lit(0.95) * (F.count(F.lit(1)) - 1) * F.max("max_tokens")).alias("well_filled"))
+    return texts.join(full, "budget_id")
+
+
 def p10_pieces(spark, sf_dir):
     """The pieces of every document above each budget."""
     out = None
@@ -113,4 +147,19 @@ def p10_pieces(spark, sf_dir):
     return out.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p3_found, p3_counts, p5_found, p6_found, p6_consensus, p7_found, p8_ids, p9_packed, p10_pieces)}
+def p10_invariants(spark, sf_dir):
+    """What must hold of the pieces of each budget: they cover the text, each begins in the one before and beyond its start, none is too large or has another text."""
+    pieces = cut(p10_pieces(spark, sf_dir))
+    most = table(spark, sf_dir, "token_budgets").where("purpose = 'split'").select("budget_id", "max_tokens")
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    nxt = pieces.select("budget_id", "doc_id", (F.col("piece") - 1).alias("piece"), F.col("start").alias("next_start"), F.col("end").alias("next_end"))
+    rows = pieces.join(nxt, ["budget_id", "doc_id", "piece"], "left").join(texts, "doc_id").join(F.broadcast(most), "budget_id")
+    own = F.decode(F.substr("raw", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), "UTF-8")
+    last = F.col("next_start").isNull()
+    hole = F.when(last, F.col("end") != F.octet_length("raw")).otherwise((F.col("next_start") > F.col("end")) | (F.col("next_start") <= F.col("start")) | (F.col("next_end") <= F.col("end")))
+    return rows.groupBy("budget_id").agg(
+        F.count_if(hole | ((F.col("piece") == 0) & (F.col("start") != 0))).alias("holes"), F.count_if(F.col("n_tokens") > F.col("max_tokens")).alias("too_large"), F.count_if(own != F.col("text")).alias("other_text")
+    )
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p2_removed, p3_found, p3_counts, p5_found, p6_found, p6_consensus, p7_found, p7_groups, p8_ids, p9_packed, p9_invariants, p10_pieces, p10_invariants)}

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import cut
+
 #: Trust of a source that isn't listed: below all others.
 UNLISTED = (1 << 31) - 1
 
@@ -141,7 +143,7 @@ def consensus_value(df: DataFrame, key: str, value: str, weight: Column, tokens:
 
     The number of rounds is the logarithm of the largest group, so no task holds a whole one.
     """
-    values = (
+    values = cut(
         df.select(F.col(key).alias("key"), F.col(value).alias("value"), weight.cast("double").alias("w"))
         .where("key is not null and value is not null")
         .groupBy("key", "value")

@@ -5,19 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PAIRS = "src string, term bigint, rec bigint, occ bigint, recs bigint"
+from ..functions.seqexpr import reverse_complement_code  # noqa: F401
 
-
-def reverse_complement_code(code: Column, k: int) -> Column:
-    """Of a 2-bit code (A=0, C=1, G=2, T=3) of k letters, k at most 31; bit operations only."""
-    x = F.bitwise_not(code)
-    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
-        m = F.lit(mask).cast("bigint")
-        x = F.shiftrightunsigned(x, shift).bitwiseAND(m).bitwiseOR(F.shiftleft(x.bitwiseAND(m), shift))
-    return F.shiftrightunsigned(x, 64 - 2 * k)
+_PAIRS = "src string, term bigint, rec bigint, occ bigint"
+_NAMES = ["src", "term", "rec", "occ"]
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -30,7 +24,7 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def term_pairs(df: DataFrame, src: str, term: str, rec: str) -> DataFrame:
-    """One row a (term, record), repeated ones of a batch added up before any shuffle. Nulls are left out."""
+    """(src, term, rec, occ): repeated pairs of a batch added up before any shuffle. Rows with a null in either are left out."""
 
     def work(batches):
         for b in batches:
@@ -39,16 +33,16 @@ def term_pairs(df: DataFrame, src: str, term: str, rec: str) -> DataFrame:
             t, r = t[order], r[order]
             head = _runs(t, r)
             size = np.diff(np.append(head, len(t)))
-            yield pa.RecordBatch.from_arrays([pa.array([src] * len(head), pa.string()), pa.array(t[head]), pa.array(r[head]), pa.array(size), pa.nulls(len(head), pa.int64())], names=["src", "term", "rec", "occ", "recs"])
+            yield pa.RecordBatch.from_arrays([pa.array([src] * len(head), pa.string()), pa.array(t[head]), pa.array(r[head]), pa.array(size)], names=_NAMES)
 
     rows = df.select(F.col(term).cast("bigint").alias("term"), F.col(rec).cast("bigint").alias("rec")).where("term is not null and rec is not null")
     return rows.mapInArrow(work, _PAIRS)
 
 
-def vector_terms(df: DataFrame, src: str, counts: str) -> DataFrame:
-    """Dense count vectors, one a record: for each position, the sum of the counts and the number of
-    records with a count above 0, added up over each batch. No record is in two rows, so these
-    numbers of records add up too. Null elements count as 0."""
+def vector_terms(df: DataFrame, src: str, counts: str, rec: str | None = None) -> DataFrame:
+    """(src, term, rec, occ) of dense count vectors: the position of each count above 0, with its record ``rec``
+    (each row is a record of its own without it). Rows with a null record and null or empty vectors
+    are left out, null elements count as 0."""
 
     def work(batches):
         for b in batches:
@@ -56,27 +50,24 @@ def vector_terms(df: DataFrame, src: str, counts: str) -> DataFrame:
             flat = pc.fill_null(col.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             lengths = pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(lengths)
-            at = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
-            hit = flat > 0
-            size = int(lengths.max(initial=0))
-            recs = np.bincount(at[hit], minlength=size)
-            occ = np.zeros(size, np.int64)
-            np.add.at(occ, at[hit], flat[hit])
-            term = np.flatnonzero(recs)
-            yield pa.RecordBatch.from_arrays([pa.array([src] * len(term), pa.string()), pa.array(term), pa.nulls(len(term), pa.int64()), pa.array(occ[term]), pa.array(recs[term])], names=["src", "term", "rec", "occ", "recs"])
+            hit = np.flatnonzero(flat > 0)
+            row = np.searchsorted(ends, hit, side="right")
+            yield pa.RecordBatch.from_arrays([pa.array([src] * len(hit), pa.string()), pa.array(hit - (ends - lengths)[row]), b.column("rec").take(pa.array(row)), pa.array(flat[hit])], names=_NAMES)
 
-    return df.where(F.size(counts) > 0).select(F.col(counts).alias("v")).mapInArrow(work, _PAIRS)
+    who = F.monotonically_increasing_id() if rec is None else F.col(rec).cast("bigint")
+    rows = df.select(F.col(counts).alias("v"), who.alias("rec")).where((F.size("v") > 0) & F.col("rec").isNotNull())
+    return rows.mapInArrow(work, _PAIRS)
 
 
 def term_counts(pairs: DataFrame) -> DataFrame:
     """(src, term, total, n_records) of all terms in rows from ``term_pairs`` or ``vector_terms``.
 
-    The pairs are range-partitioned and sorted by (src, term, rec), so a term that a third of all
+    The pairs are range-partitioned and sorted by (term, src, rec), so a term that a third of all
     rows hold is spread over as many partitions as it needs, while equal pairs stay together. One
     scan counts the runs; the parts of a term that lies on a border between partitions are
     added up at the end. No rows give no terms.
     """
-    key = ["src", "term", "rec"]
+    key = ["term", "src", "rec"]
     ordered = pairs.repartitionByRange(*key).sortWithinPartitions(*key)
 
     def scan(batches):
@@ -86,21 +77,17 @@ def term_counts(pairs: DataFrame) -> DataFrame:
                 continue
             src = b.column("src").dictionary_encode()
             s = src.indices.to_numpy(zero_copy_only=False)
-            t = b.column("term").to_numpy(zero_copy_only=False)
-            given = b.column("rec").is_valid().to_numpy(zero_copy_only=False)
-            r = pc.fill_null(b.column("rec"), 0).to_numpy(zero_copy_only=False)
-            occ = b.column("occ").to_numpy(zero_copy_only=False)
+            t, r, occ = (b.column(c).to_numpy(zero_copy_only=False) for c in _NAMES[1:])
             first = np.zeros(len(t), np.int64)
-            first[_runs(s, t, r, given)] = 1
-            if (src.dictionary[s[0]].as_py(), t[0], r[0], given[0]) == last:
+            first[_runs(t, s, r)] = 1
+            if (src.dictionary[s[0]].as_py(), t[0], r[0]) == last:
                 first[0] = 0
-            n = np.where(given, first, pc.fill_null(b.column("recs"), 0).to_numpy(zero_copy_only=False))
-            head = _runs(s, t)
+            head = _runs(t, s)
             yield pa.RecordBatch.from_arrays(
-                [src.dictionary.take(pa.array(s[head])), pa.array(t[head]), pa.array(np.add.reduceat(occ, head)), pa.array(np.add.reduceat(n, head))],
+                [src.dictionary.take(pa.array(s[head])), pa.array(t[head]), pa.array(np.add.reduceat(occ, head)), pa.array(np.add.reduceat(first, head))],
                 names=["src", "term", "total", "n_records"],
             )
-            last = (src.dictionary[s[-1]].as_py(), t[-1], r[-1], given[-1])
+            last = (src.dictionary[s[-1]].as_py(), t[-1], r[-1])
 
     scanned = ordered.mapInArrow(scan, "src string, term bigint, total bigint, n_records bigint")
     return scanned.groupBy("src", "term").agg(F.sum("total").alias("total"), F.sum("n_records").alias("n_records"))

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from strandweave.llm.neardup import kmer_sets, near_duplicates
+from strandweave.llm import neardup
+from strandweave.llm.neardup import kmer_sets, near_classes, near_duplicates
 
 K = 7
 
@@ -72,3 +73,41 @@ def test_kmer_sets_against_strings():
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "id long, v1 long, v2 long, text string")).count() == 0
+    assert near_classes(spark.createDataFrame([], "id long, v1 long, v2 long, text string")).count() == 0
+
+
+def with_copies():
+    rows = some(3, 120)
+    return rows + [(2000 + i, b, a, t.lower() if t else t) for i, a, b, t in rows if i is not None and i % 3 == 0] + [(5000 + i, 1, 1, "N" * 30) for i in range(5)]
+
+
+@pytest.mark.parametrize("crowded", [10**9, 20])
+def test_copies_are_pairs_too(spark, crowded):
+    rows = with_copies()
+    got = [(r.id_a, r.id_b) for r in near_duplicates(spark.createDataFrame(rows, "id long, v1 long, v2 long, text string"), K, crowded=crowded).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_classes_links_and_groups(spark):
+    rows = with_copies()
+    got = {r["id"]: (r["class"], r["n_links"], r["group"]) for r in near_classes(spark.createDataFrame(rows, "id long, v1 long, v2 long, text string"), K).collect()}
+    known = [(i, frozenset({a, b} - {None}), t.upper()) for i, a, b, t in rows if i is not None and t is not None and (a, b) != (None, None)]
+    first = {}
+    for i, v, t in sorted(known, key=lambda x: x[0]):
+        first.setdefault((v, t), i)
+    of = {i: first[v, t] for i, v, t in known}
+    links = {(of[a], of[b]) for a, b in brute(rows) if of[a] != of[b]}
+    links |= {(b, a) for a, b in links}
+    group = {c: c for c in of.values()}
+    for _ in group:
+        for a, b in links:
+            group[a] = min(group[a], group[b])
+    assert got == {i: (c, sum(a == c for a, _ in links), group[c]) for i, c in of.items()}
+
+
+def test_no_key_is_crowded_by_size_alone(spark, monkeypatch):
+    """Beyond CELLS * crowded rows the limit grows with the table, so evenly spread keys stay whole."""
+    monkeypatch.setattr(neardup, "CELLS", 4)
+    df = spark.createDataFrame([(i % 40,) for i in range(4000)] + [(99,)] * 1500, "anchor long")
+    found = neardup._crowds(df, ["anchor"], 10).collect()
+    assert [(r.anchor, r.parts) for r in found] == [(99, 2)] and neardup._crowds(df, ["anchor"], 2000) is None

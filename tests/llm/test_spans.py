@@ -3,7 +3,8 @@ from collections import Counter
 
 import pytest
 
-from strandweave.llm.spans import shared_letters
+from strandweave.llm import spans
+from strandweave.llm.spans import repeated_letters, shared_letters
 
 
 def brute(rows, span):
@@ -56,6 +57,56 @@ def test_other_letters_count_as_stored(spark, letters):
     assert got == brute(rows, 15)
 
 
+def brute_later(rows, span):
+    seen, out = set(), {}
+    for rid, t in sorted(r for r in rows if None not in r):
+        covered = set()
+        for i in range(len(t) - span + 1):
+            if t[i : i + span] in seen:
+                covered |= set(range(i, i + span))
+            seen.add(t[i : i + span])
+        if covered:
+            out[rid] = len(covered)
+    return out
+
+
+@pytest.mark.parametrize("letters", ["ACGT", "ACGTacgtN", "AГ漢😀"])
+@pytest.mark.parametrize("crowded", [10**9, 3, 0])
+def test_later_occurrences(spark, letters, crowded):
+    rows = some(4, letters)
+    got = {r.rid: r.n_shared for r in repeated_letters(spark.createDataFrame(rows, "rid long, text string"), 15, crowded).collect()}
+    assert got == brute_later(rows, 15)
+    assert repeated_letters(spark.createDataFrame([], "rid long, text string"), 15).count() == 0
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    """With a hash of two values nearly all runs collide; the letters decide."""
+    import numpy as np
+
+    r = random.Random(2)
+    codes = np.frombuffer("".join(r.choice("ACGT") for _ in range(900)).encode() * 2, np.uint8)
+    run = np.arange(len(codes) - 15 + 1)
+    rid = (run >= 900).astype(np.int64)
+    true = [codes[i : i + 15].tobytes() for i in run]
+    both = {x for x, i in zip(true, rid) if not i} & {x for x, i in zip(true, rid) if i}
+    whole = spans.run_hashes
+    monkeypatch.setattr(spans, "run_hashes", lambda c, *sizes: [h & np.uint64(1) for h in whole(c, *sizes)])
+    assert spans._shared_starts(codes, run, rid, 15).tolist() == [x in both for x in true]
+
+
+def test_crowded_routes_are_exact_and_few(spark):
+    rows = some(6)
+    df = spark.createDataFrame([r for r in rows if None not in r], "rid long, text string")
+    counts = Counter()
+    import pyarrow as pa
+
+    from strandweave.functions.letters import letters
+
+    counts.update(spans._bundles(*letters(pa.array([t for _, t in rows if t])), 15)[3].tolist())
+    assert spans._crowded_routes(df, 15, 3).tolist() == sorted(v for v, n in counts.items() if n > 3)
+    assert len(spans._crowded_routes(df, 15, 10**9)) == 0
+
+
 def test_a_third_with_one_span(spark):
     r = random.Random(3)
     word = lambda n: "".join(r.choice("ACGT") for _ in range(n))
