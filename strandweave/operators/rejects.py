@@ -1,13 +1,15 @@
 """Alignment lines that can't be read, parted from those that can.
 
 A line is read by a minimum-cost error parse: dynamic programming over its quotes, tabs and runs
-of other letters, in which a quote or a tab may be inserted or deleted at a cost of one. Lines
-that parse at no cost and whose fields have valid values load as typed rows; for all others the
+of other letters, in which a quote or a tab may be inserted or deleted at a cost of one; quotes
+are edited only where the quoting isn't sound as it is. Lines that parse at no cost and whose fields have valid values load as typed rows; for all others the
 kind of the edits, or the first field with an invalid value, is the reason.
 """
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,40 +28,64 @@ _PARSE = T.StructType([
 
 # states of the parse: at the start of a field, in a bare field, inside quotes, after a quote inside quotes
 _START, _BARE, _IN, _CLOSED = range(4)
-_INF = np.int64(1) << 60
-# one 64-bit cost: edits first, then how many of each kind; adding costs keeps all five apart
-_EDIT, _QINS, _QDEL, _TINS, _TDEL = 1 << 40, 1 << 30, 1 << 20, 1 << 10, 1
 _QUOTE, _TAB, _OTHER, _END = 0, 1, 2, 3
 
 
-def _advance(cost: np.ndarray, kind: np.ndarray, allow_tabs: bool) -> np.ndarray:
+class Cost:
+    """Costs as one number: edits first, then inserted quotes, deleted quotes and inserted tabs; deleted tabs are the rest.
+
+    Adding costs keeps the counts apart, as each has room for twice the symbols of a line. Where
+    64 bits don't do for that, numbers of any size are used."""
+
+    def __init__(self, symbols: int):
+        self.bits = (2 * symbols + 64).bit_length()
+        self.kind = np.int64 if 4 * self.bits < 62 else object
+        one = lambda i: 1 << self.bits * i
+        edit = one(3)
+        self.qins, self.qdel, self.tins, self.tdel = edit + one(2), edit + one(1), edit + one(0), edit
+        self.far = 1 << (4 * self.bits + 1 if self.kind is object else 61)
+
+    def without_quotes(self) -> Cost:
+        """The same with quotes that can't be edited."""
+        other = copy(self)
+        other.qins = other.qdel = self.far
+        return other
+
+    def counts(self, packed) -> tuple[int, int, int, int]:
+        """Quotes inserted and deleted, tabs inserted and deleted."""
+        packed, mask = int(packed), (1 << self.bits) - 1
+        edits, qins, qdel, tins = (packed >> self.bits * i & mask for i in (3, 2, 1, 0))
+        return qins, qdel, tins, edits - qins - qdel - tins
+
+
+def _advance(cost: np.ndarray, kind: np.ndarray, allow_tabs: bool, c: Cost) -> np.ndarray:
     """One symbol further for all lines: cost[line, state, fields so far]."""
     # edits before the symbol: insert a quote, insert a tab; twice, so an inserted quote may be followed by another edit
     for _ in range(2):
         base = cost.copy()
         edit = lambda src, dst, add: np.minimum(cost[:, dst], base[:, src] + add, out=cost[:, dst])
-        edit(_START, _IN, _EDIT + _QINS)
-        edit(_IN, _CLOSED, _EDIT + _QINS)
-        edit(_CLOSED, _IN, _EDIT + _QINS)
+        edit(_START, _IN, c.qins)
+        edit(_IN, _CLOSED, c.qins)
+        edit(_CLOSED, _IN, c.qins)
         if allow_tabs:
             for state in (_START, _BARE, _CLOSED):
-                cost[:, _START, 1:] = np.minimum(cost[:, _START, 1:], base[:, state, :-1] + _EDIT + _TINS)
-    out = np.full_like(cost, _INF)
+                cost[:, _START, 1:] = np.minimum(cost[:, _START, 1:], base[:, state, :-1] + c.tins)
+    out = np.full_like(cost, c.far)
     q, t, x = (kind == k for k in (_QUOTE, _TAB, _OTHER))
 
     def move(rows, src, dst, add=0, shift=0):
         a = cost[rows, src]
         if shift:
-            a = np.concatenate([np.full_like(a[:, :1], _INF), a[:, :-1]], axis=1)
+            a = np.concatenate([np.full_like(a[:, :1], c.far), a[:, :-1]], axis=1)
         out[rows, dst] = np.minimum(out[rows, dst], a + add)
 
     move(q, _START, _IN)
     move(q, _IN, _CLOSED)
     move(q, _CLOSED, _IN)
     for state in range(4):
-        move(q, state, state, _EDIT + _QDEL)
+        move(q, state, state, c.qdel)
         if allow_tabs:
-            move(t, state, state, _EDIT + _TDEL)
+            move(t, state, state, c.tdel)
     move(t, _IN, _IN)
     for state in (_START, _BARE, _CLOSED):
         move(t, state, _START, shift=1)
@@ -68,43 +94,48 @@ def _advance(cost: np.ndarray, kind: np.ndarray, allow_tabs: bool) -> np.ndarray
     move(x, _IN, _IN)
     keep = kind == _END
     out[keep] = cost[keep]
-    return out
+    # a sum with what can't be reached stays out of reach
+    return np.minimum(out, c.far)
 
 
-def _least(symbols: np.ndarray, fields: int | None) -> np.ndarray:
+def _least(symbols: np.ndarray, fields: int | None, c: Cost) -> np.ndarray:
     """The least packed cost for each line of ``symbols`` (padded with _END).
 
-    With ``fields`` None only quotes may be edited and any number of fields will do.
+    With ``fields`` None only quotes may be edited and any number of fields will do. No edit takes
+    back a field once it is closed, so states beyond ``fields`` are dropped: a line costs its
+    symbols times ``fields``, whatever tabs it has.
     """
     lines, size = symbols.shape
-    width = 1 if fields is None else int(max(fields, (symbols == _TAB).sum(axis=1).max() + 1)) + 1
-    cost = np.full((lines, 4, width), _INF, np.int64)
+    width = 1 if fields is None else fields
+    cost = np.full((lines, 4, width), c.far, c.kind)
     cost[:, _START, 0] = 0
     flat = fields is None
     for i in range(size):
         if flat:  # the number of fields doesn't matter: tabs stay in the one column
-            wide = np.concatenate([cost, np.full_like(cost, _INF)], axis=2)
-            cost = _advance(wide, symbols[:, i], False).min(axis=2, keepdims=True)
+            wide = np.concatenate([cost, np.full_like(cost, c.far)], axis=2)
+            cost = _advance(wide, symbols[:, i], False, c).min(axis=2, keepdims=True)
         else:
-            cost = _advance(cost, symbols[:, i], True)
+            cost = _advance(cost, symbols[:, i], True, c)
     # at the end: an open quote may be closed, and missing tabs added, by insertion
-    cost[:, _CLOSED] = np.minimum(cost[:, _CLOSED], cost[:, _IN] + _EDIT + _QINS)
+    cost[:, _CLOSED] = np.minimum(cost[:, _CLOSED], cost[:, _IN] + c.qins)
     done = np.minimum(np.minimum(cost[:, _START], cost[:, _BARE]), cost[:, _CLOSED])
     if flat:
         return done[:, 0]
-    found = np.arange(width) + 1  # fields, for each column
-    return np.where(found <= fields, done + (fields - found) * (_EDIT + _TINS), _INF).min(axis=1)
-
-
-def _symbols(lines: list[str]) -> np.ndarray:
-    """Each line as quotes, tabs and runs of other letters, padded to the longest."""
-    rows = []
-    for line in lines:
-        codes = np.frombuffer(line.encode("utf-8"), np.uint8)
-        kind = np.where(codes == 34, _QUOTE, np.where(codes == 9, _TAB, _OTHER))
-        keep = np.ones(len(kind), bool)
-        keep[1:] = (kind[1:] != _OTHER) | (kind[:-1] != _OTHER)
-        rows.append(kind[keep])
+    missing = np.array([c.tins * (fields - 1 - i) for i in range(width)], c.kind)
+    return (done + missing).min(axis=1)
+
+
+def _symbol_row(line: str) -> np.ndarray:
+    """A line as quotes, tabs and runs of other letters."""
+    codes = np.frombuffer(line.encode("utf-8"), np.uint8)
+    kind = np.where(codes == 34, _QUOTE, np.where(codes == 9, _TAB, _OTHER)).astype(np.int8)
+    keep = np.ones(len(kind), bool)
+    keep[1:] = (kind[1:] != _OTHER) | (kind[:-1] != _OTHER)
+    return kind[keep]
+
+
+def _symbols(rows: list[np.ndarray]) -> np.ndarray:
+    """The symbols of each line, padded to the longest."""
     out = np.full((len(rows), max(map(len, rows), default=0)), _END, np.int8)
     for i, row in enumerate(rows):
         out[i, : len(row)] = row
@@ -137,38 +168,38 @@ def _split(line: str) -> list[str]:
         at += 1
 
 
-def _said(packed: int) -> str:
-    n = [(packed >> k) & 1023 for k in (30, 20, 10, 0)]
+def _said(counts: tuple[int, int, int, int]) -> str:
     words = ("insert {} quote", "delete {} quote", "insert {} tab", "delete {} tab")
-    return ", ".join(w.format(k) for w, k in zip(words, n) if k)
+    return ", ".join(w.format(k) for w, k in zip(words, counts) if k)
 
 
 def parse_lines(column: pa.Array, fields: int = len(FIELDS), block: int = 1 << 22) -> pa.Array:
-    """The parse of each line; null stays null. Lines are parsed together with others of like
-    size, so that a long one doesn't widen the table of all others."""
+    """The parse of each line; null stays null. ``quote_edits`` is the least number of quotes to edit for
+    sound quoting, ``edits`` tells the cheapest way to ``fields`` fields (empty if nothing is to be
+    done), and ``fields`` are those of a line with sound quoting. Lines are parsed together with
+    others of like size, so that a long one doesn't widen the table of all others."""
     lines = column.to_pylist()
     out: list = [None] * len(lines)
-    order = sorted((i for i, x in enumerate(lines) if x is not None), key=lambda i: (lines[i].count("\t"), len(lines[i])))
+    symbols_of = {i: _symbol_row(x) for i, x in enumerate(lines) if x is not None}
+    order = sorted(symbols_of, key=lambda i: len(symbols_of[i]))
     at = 0
     while at < len(order):
-        part, cells = [], 0
-        while at < len(order) and (not part or cells < block):
-            part.append(order[at])
-            cells += 8 * max(fields + 1, lines[order[at]].count("\t") + 2)
-            at += 1
-        symbols = _symbols([lines[i] for i in part])
-        quotes = _least(symbols, None)
-        whole = np.zeros(len(part), np.int64)
-        tabs = np.array([lines[i].count("\t") for i in part])
-        faulty = (quotes > 0) | (tabs != fields - 1)
-        if faulty.any():
-            whole[faulty] = _least(symbols[faulty], fields)
+        part = [order[at]]
+        most = max(1, block // (4 * fields * max(1, len(symbols_of[order[min(at + 4095, len(order) - 1)]]))))
+        part = order[at : at + min(4096, most)]
+        at += len(part)
+        symbols = _symbols([symbols_of[i] for i in part])
+        cost = Cost(symbols.shape[1])
+        quotes = _least(symbols, None, cost)
+        tabs = (symbols == _TAB).sum(axis=1)
+        said = [""] * len(part)
+        for rows, own in ((quotes > 0, cost), ((quotes == 0) & ((symbols == _QUOTE).any(axis=1) | (tabs != fields - 1)), cost.without_quotes())):
+            if rows.any():
+                for k, packed in zip(np.flatnonzero(rows).tolist(), _least(symbols[rows], fields, own)):
+                    said[k] = _said(cost.counts(packed))
         for k, i in enumerate(part):
-            split = _split(lines[i]) if quotes[k] == 0 else None
-            n = abs(len(split) - fields) if split else 0
-            # without a quote edit the fields are known, and so the tabs to insert or to delete
-            said = _said(int(whole[k])) if split is None else n and f"{'insert' if len(split) < fields else 'delete'} {n} tab" or ""
-            out[i] = {"quote_edits": int(quotes[k] >> 40), "edits": said, "fields": split}
+            qins, qdel, _, _ = cost.counts(quotes[k])
+            out[i] = {"quote_edits": qins + qdel, "edits": said[k], "fields": _split(lines[i]) if quotes[k] == 0 else None}
     return pa.array(out, pa.struct([("quote_edits", pa.int32()), ("edits", pa.string()), ("fields", pa.list_(pa.string()))]))
 
 
@@ -187,19 +218,21 @@ def read_alignments(df: DataFrame, line: str = "line") -> DataFrame:
     Null, blank and header lines (``#``, ``@``) are no alignment lines and don't come out.
     ``reason`` is null for a line that loads: ``rec`` then holds its typed fields. Otherwise it is
     the first of quoting, columns, number, nm and cigar that applies, ``rec`` is null and
-    ``edits`` tells the edits of the cheapest repair, where quotes or tabs are at fault. Repeated
-    lines come out as often as they came in.
+    ``edits`` tells the edits of the cheapest repair, where quotes or tabs are at fault: of repairs
+    with equally many edits the one that inserts the fewest quotes, then deletes the fewest, then
+    inserts the fewest tabs. Repeated lines come out as often as they came in.
 
-    Lines without a quote need no dynamic programming: their quoting costs nothing, and the
-    distance of their number of fields from the right one is the cost. They don't leave the JVM.
+    A line of the right number of tabs without a quote parses at a cost of zero, so it needs no
+    dynamic programming and doesn't leave the JVM. All other lines are parsed by it.
     """
     text = F.when(F.col(line).endswith("\r"), F.expr("left(__line, length(__line) - 1)")).otherwise(F.col("__line"))
     base = df.withColumn("__line", F.col(line)).withColumn("__text", text)
     base = base.where("__line is not null and not rlike(__text, '^[ \\\\t]*\\\\z') and not rlike(__text, '^[#@]')")
-    quoted = F.col("__text").contains('"')
-    base = base.withColumn("__p", F.when(quoted, _parse(F.when(quoted, F.col("__text")))))
     n = len(FIELDS)
-    base = base.withColumn("f", F.when(quoted, F.col("__p.fields")).otherwise(F.split("__text", "\t", -1)))
+    quoted = F.col("__text").contains('"')
+    odd = quoted | (F.length("__text") - F.length(F.replace("__text", F.lit("\t"), F.lit(""))) != n - 1)
+    base = base.withColumn("__odd", odd).withColumn("__p", _parse(F.when(F.col("__odd"), F.col("__text"))))
+    base = base.withColumn("f", F.when(F.col("__odd"), F.col("__p.fields")).otherwise(F.split("__text", "\t", -1)))
     value = {c: F.when(_field(c).rlike("^[0-9]{1,9}\\z"), _field(c)).try_cast("bigint") for c in NUMBERS}
     numbers_ok = F.lit(True)
     for c in NUMBERS:
@@ -224,16 +257,13 @@ def read_alignments(df: DataFrame, line: str = "line") -> DataFrame:
     cigar_ok = tiled & (used == value["qe"] - value["qs"])
     bad = lambda ok: ~F.coalesce(ok, F.lit(False))
     reason = (
-        F.when(quoted & (F.col("__p.quote_edits") > 0), "quoting")
+        F.when(F.col("__odd") & (F.col("__p.quote_edits") > 0), "quoting")
         .when(F.size("f") != n, "columns")
         .when(bad(numbers_ok), "number")
         .when(nm.isNull(), "nm")
         .when(bad(cigar_ok), "cigar")
     )
-    off = n - F.size("f")
-    edits = F.when(quoted, F.nullif(F.col("__p.edits"), F.lit(""))).when(
-        off != 0, F.concat(F.when(off > 0, "insert ").otherwise("delete "), F.abs(off).cast("string"), F.lit(" tab"))
-    )
+    edits = F.nullif(F.col("__p.edits"), F.lit(""))
     whole = [_field("name").alias("name"), *(value[c].alias(c) for c in ("qlen", "qs", "qe")), _field("strand").alias("strand"), _field("path").alias("path")]
     whole += [value[c].alias(c) for c in ("plen", "ps", "pe", "matches", "cigar_len")] + [value["mapq"].cast("int").alias("mapq"), nm.alias("nm")]
     whole += [_field("as").alias("as_tag"), _field("dv").alias("dv_tag"), _field("id").alias("id_tag"), cigar.alias("cigar")]

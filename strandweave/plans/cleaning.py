@@ -21,6 +21,12 @@ def p1_loaded(spark, sf_dir):
     return read_alignments(raw).where("reason is null").select("raw_id", "file_name", "line_no", F.expr("inline(array(rec))"))
 
 
+def p1_edits(spark, sf_dir):
+    """The edits of the cheapest repair of each line whose quotes or number of fields are at fault."""
+    raw = table(spark, sf_dir, "gaf_raw").select("raw_id", "line")
+    return read_alignments(raw).where("reason in ('quoting', 'columns')").select("raw_id", "reason", "edits")
+
+
 def p4_found(spark, sf_dir):
     """Covered periods of each read and the gaps of 1 to 20,000 bases between them."""
     sfs = table(spark, sf_dir, "sfs").select("rname", "s", "l", "e")
@@ -28,7 +34,7 @@ def p4_found(spark, sf_dir):
     return found.select(F.col("key").alias("rname"), "kind", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p1_edits": p1_edits, "p4_found": p4_found}
 
 _P1 = r"""
 with t as (select raw_id, file_name, line_no, case when line like '%' || chr(13) then left(line, length(line) - 1) else line end as x from gaf_raw where line is not null),

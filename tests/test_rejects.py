@@ -120,3 +120,33 @@ def test_costs_against_breadth_first_search():
             assert len(got["fields"]) == n and edits == abs(n - 3), text
         else:
             assert edits == distance(text, 3), (text, got)
+
+
+def test_many_edits_and_many_tabs(spark):
+    import pyarrow as pa
+
+    texts = ["\t" * 1100, '"' * 4001, "x" + '"' * 3000, "\t" * 9_000, line() + "\tx" * 5, line(name='"a\t') + "\tx" * 3]
+    got = parse_lines(pa.array(texts)).to_pylist()
+    assert [x["edits"] for x in got[:5]] == ["delete 1084 tab", "delete 1 quote, insert 16 tab", "insert 16 tab", "delete 8984 tab", "delete 5 tab"]
+    assert got[5]["quote_edits"] == 1 and sum(int(p.split()[1]) for p in got[5]["edits"].split(", ")) <= 4
+
+
+def test_costs_of_any_size():
+    """The same edits where 64 bits don't do."""
+    import numpy as np
+
+    from strandweave.operators import rejects
+
+    r = random.Random(7)
+    lines = ["".join(r.choice('ab"\t') for _ in range(r.randrange(1, 20))) for _ in range(40)]
+    symbols = rejects._symbols([rejects._symbol_row(x) for x in lines])
+    small, large = rejects.Cost(symbols.shape[1]), rejects.Cost(1 << 20)
+    assert small.kind is np.int64 and large.kind is object
+    a, b = (rejects._least(symbols, 4, c) for c in (small, large))
+    assert [small.counts(x) for x in a] == [large.counts(x) for x in b]
+
+
+def test_edits_of_lines_without_quotes(spark):
+    rows = [(1, line() + "\tx\ty"), (2, "\t".join(GOOD[:-2])), (3, line()), (4, line(qs="x")), (5, line(name='"a'))]
+    got = {r.i: (r.reason, r.edits) for r in read_alignments(spark.createDataFrame(rows, "i int, line string")).collect()}
+    assert got == {1: ("columns", "delete 2 tab"), 2: ("columns", "insert 2 tab"), 3: (None, None), 4: ("number", None), 5: ("quoting", got[5][1])} and "quote" in got[5][1]
