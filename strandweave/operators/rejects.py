@@ -232,7 +232,10 @@ def read_alignments(df: DataFrame, line: str = "line") -> DataFrame:
     quoted = F.col("__text").contains('"')
     odd = quoted | (F.length("__text") - F.length(F.replace("__text", F.lit("\t"), F.lit(""))) != n - 1)
     base = base.withColumn("__odd", odd).withColumn("__p", _parse(F.when(F.col("__odd"), F.col("__text"))))
-    base = base.withColumn("f", F.when(F.col("__odd"), F.col("__p.fields")).otherwise(F.split("__text", "\t", -1)))
+    fields = F.when(F.col("__odd"), F.col("__p.fields")).otherwise(F.split("__text", "\t", -1))
+    # what is exploded is worked out once a row, not once for each expression that uses it
+    once = F.struct(fields.alias("f"), F.col("__p.quote_edits").alias("q"), F.col("__p.edits").alias("e"))
+    base = base.withColumn("__r", F.explode(F.array(once))).withColumn("f", F.col("__r.f"))
     value = {c: F.when(_field(c).rlike("^[0-9]{1,9}\\z"), _field(c)).try_cast("bigint") for c in NUMBERS}
     numbers_ok = F.lit(True)
     for c in NUMBERS:
@@ -257,16 +260,16 @@ def read_alignments(df: DataFrame, line: str = "line") -> DataFrame:
     cigar_ok = tiled & (used == value["qe"] - value["qs"])
     bad = lambda ok: ~F.coalesce(ok, F.lit(False))
     reason = (
-        F.when(F.col("__odd") & (F.col("__p.quote_edits") > 0), "quoting")
+        F.when(F.col("__r.q") > 0, "quoting")
         .when(F.size("f") != n, "columns")
         .when(bad(numbers_ok), "number")
         .when(nm.isNull(), "nm")
         .when(bad(cigar_ok), "cigar")
     )
-    edits = F.nullif(F.col("__p.edits"), F.lit(""))
+    edits = F.nullif(F.col("__r.e"), F.lit(""))
     whole = [_field("name").alias("name"), *(value[c].alias(c) for c in ("qlen", "qs", "qe")), _field("strand").alias("strand"), _field("path").alias("path")]
     whole += [value[c].alias(c) for c in ("plen", "ps", "pe", "matches", "cigar_len")] + [value["mapq"].cast("int").alias("mapq"), nm.alias("nm")]
     whole += [_field("as").alias("as_tag"), _field("dv").alias("dv_tag"), _field("id").alias("id_tag"), cigar.alias("cigar")]
     kept = [c for c in df.columns if c != line and c not in ("reason", "edits", "rec")]
-    judged = base.withColumn("__reason", reason)
+    judged = base.withColumn("__reason", F.explode(F.array(reason)))
     return judged.select(*kept, F.col("__reason").alias("reason"), edits.alias("edits"), F.when(F.col("__reason").isNull(), F.struct(*whole)).alias("rec"))
