@@ -352,6 +352,7 @@ def near_duplicates(rows: DataFrame, k: int = 15, t_num: int = 1, t_den: int = 2
     found = representative_pairs(rows, copies, k, t_num, t_den, crowded)
     if copies.isEmpty():
         return found
+    found = cut(found)
     of = lambda name: copies.select(F.col("rep").alias("r"), F.col("id").alias(name))
     pair = found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     # texts with no k-mer at all are near nothing, not even their copies
