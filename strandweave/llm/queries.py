@@ -39,14 +39,14 @@ def _terms(spark, sf_dir):
     code = F.col("sxs")
     sketch = table(spark, sf_dir, "sketch").where("sxs >= 0").select("sketch_id", F.least(code, reverse_complement_code(code, SKETCH_K)).alias("term"))
     vectors = table(spark, sf_dir, "cand_paths").select("cp_id", "kcounts")
-    pairs = term_pairs(sketch, "sketch", "term", "sketch_id").unionByName(vector_terms(vectors, "kcounts", "kcounts", "cp_id"))
+    counts = term_counts(term_pairs(sketch, "sketch", "term", "sketch_id"), "sketch").unionByName(term_counts(vector_terms(vectors, "kcounts", "kcounts", "cp_id"), "kcounts"))
     records = (
         sketch.where("sketch_id is not null").select("sketch_id").distinct().agg(F.count(F.lit(1)).alias("records")).withColumn("src", F.lit("sketch"))
     ).unionByName(vectors.where(F.size("kcounts") > 0).agg(F.count(F.lit(1)).alias("records")).withColumn("src", F.lit("kcounts")))
     n, of = F.col("n_records"), F.col("records")
     mark = F.when(F.col("src") == "sketch", F.when(n == 1, "rare").when(n * 5 >= of, "common")).otherwise(F.when(n * 20 <= of, "rare").when(n * 5 >= of * 2, "common"))
     # two rows, whatever the input
-    return term_counts(pairs).join(F.broadcast(records), "src").select("src", "term", "total", "n_records", mark.alias("mark"))
+    return counts.join(F.broadcast(records), "src").select("src", "term", "total", "n_records", mark.alias("mark"))
 
 
 def p3_found(spark, sf_dir):

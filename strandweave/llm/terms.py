@@ -59,35 +59,36 @@ def vector_terms(df: DataFrame, src: str, counts: str, rec: str | None = None) -
     return rows.mapInArrow(work, _PAIRS)
 
 
-def term_counts(pairs: DataFrame) -> DataFrame:
+def term_counts(pairs: DataFrame, src: str | None = None) -> DataFrame:
     """(src, term, total, n_records) of all terms in rows from ``term_pairs`` or ``vector_terms``.
 
     The pairs are range-partitioned and sorted by (term, src, rec), so a term that a third of all
     rows hold is spread over as many partitions as it needs, while equal pairs stay together. One
     scan counts the runs; the parts of a term that lies on a border between partitions are
-    added up at the end. No rows give no terms.
+    added up at the end. No rows give no terms. Where all pairs are of one source, ``src`` names it
+    and only numbers are sorted.
     """
-    key = ["term", "src", "rec"]
-    ordered = pairs.repartitionByRange(*key).sortWithinPartitions(*key)
+    key = ["term", "rec"] if src else ["term", "src", "rec"]
+    ordered = (pairs.drop("src") if src else pairs).repartitionByRange(*key).sortWithinPartitions(*key)
 
     def scan(batches):
         last = None  # the pair that ended the batch before
         for b in batches:
             if not b.num_rows:
                 continue
-            src = b.column("src").dictionary_encode()
-            s = src.indices.to_numpy(zero_copy_only=False)
+            names = (pa.array([src], pa.string()).take(pa.array(np.zeros(b.num_rows, np.int32))) if src else b.column("src")).dictionary_encode()
+            s = names.indices.to_numpy(zero_copy_only=False)
             t, r, occ = (b.column(c).to_numpy(zero_copy_only=False) for c in _NAMES[1:])
             first = np.zeros(len(t), np.int64)
             first[_runs(t, s, r)] = 1
-            if (src.dictionary[s[0]].as_py(), t[0], r[0]) == last:
+            if (names.dictionary[s[0]].as_py(), t[0], r[0]) == last:
                 first[0] = 0
             head = _runs(t, s)
             yield pa.RecordBatch.from_arrays(
-                [src.dictionary.take(pa.array(s[head])), pa.array(t[head]), pa.array(np.add.reduceat(occ, head)), pa.array(np.add.reduceat(first, head))],
+                [names.dictionary.take(pa.array(s[head])), pa.array(t[head]), pa.array(np.add.reduceat(occ, head)), pa.array(np.add.reduceat(first, head))],
                 names=["src", "term", "total", "n_records"],
             )
-            last = (src.dictionary[s[-1]].as_py(), t[-1], r[-1])
+            last = (names.dictionary[s[-1]].as_py(), t[-1], r[-1])
 
     scanned = ordered.mapInArrow(scan, "src string, term bigint, total bigint, n_records bigint")
     return scanned.groupBy("src", "term").agg(F.sum("total").alias("total"), F.sum("n_records").alias("n_records"))
