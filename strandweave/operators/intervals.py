@@ -2,8 +2,8 @@
 
 Positions are cut into tiles. All rows of one entity that start in one tile are reduced to one
 row a start position before they meet, so a tile holds at most ``tile`` rows; an entity has at
-most 2^32 / tile tiles. Both windows below are bounded by this, whatever share of the table one
-entity holds.
+most 2^32 / tile tiles. Windows see the rows of a tile, or a few numbers for each tile of an
+entity, whatever share of the table one entity holds.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: Positions a tile; the bound on the rows that one (entity, tile) window sees.
 TILE = 1 << 16
 
@@ -58,27 +60,33 @@ def islands(spans: DataFrame, touching: bool = False, tile: int = TILE) -> DataF
     )
     # the local periods of a tile: none overlaps another of the same tile
     local = labelled.groupBy("key", "t", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    by_tile = local.groupBy("key", "t").agg(
-        F.max("e").alias("top"),
-        F.sort_array(F.collect_list(F.struct("s", "e"))).alias("p"),
+    by_tile = cut(
+        local.groupBy("key", "t").agg(
+            F.max("e").alias("top"),
+            F.sort_array(F.collect_list(F.struct("s", "e"))).alias("p"),
+        )
     )
+    # windows along an entity see a few numbers a tile; the periods are joined back by (key, tile)
+    on = ["key", "t"]
     tiles = Window.partitionBy("key").orderBy("t")
-    carried = by_tile.withColumn("c", F.max("top").over(tiles.rowsBetween(Window.unboundedPreceding, -1)))
+    carried = by_tile.select(*on, F.max("top").over(tiles.rowsBetween(Window.unboundedPreceding, -1)).alias("c"))
     is_head = lambda x: F.col("c").isNull() | apart(x["s"], F.col("c"))
-    heads = carried.select(
-        "key",
-        "t",
-        F.filter("p", is_head).alias("h"),
-        F.array_max(F.transform(F.filter("p", lambda x: ~is_head(x)), lambda x: x["e"])).alias("a"),
+    heads = cut(
+        by_tile.join(carried, on).select(
+            *on,
+            F.filter("p", is_head).alias("h"),
+            F.array_max(F.transform(F.filter("p", lambda x: ~is_head(x)), lambda x: x["e"])).alias("a"),
+        )
     )
-    has_head = F.size("h") > 0
-    grouped = heads.withColumn(
+    marks = heads.select(*on, "a", F.get("h", F.lit(0))["s"].alias("s"))
+    has_head = F.col("s").isNotNull()
+    grouped = marks.withColumn(
         "run", F.sum(F.when(has_head, 1).otherwise(0)).over(tiles.rowsBetween(Window.unboundedPreceding, 0))
     )
     # rows that continue the last period of a tile lie in the tiles up to the next one with a period of its own
     nearest = Window.partitionBy("key").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
     known = grouped.withColumn("add", F.max(F.when(~has_head, F.col("a"))).over(Window.partitionBy("key", "run"))).withColumn(
-        "nxt", F.last(F.when(has_head, F.struct("a", F.col("h")[0]["s"].alias("s"))), ignorenulls=True).over(nearest)
+        "nxt", F.last(F.when(has_head, F.struct("a", "s")), ignorenulls=True).over(nearest)
     )
     n = F.size("h")
     ends = lambda x, i: F.struct(
@@ -86,7 +94,8 @@ def islands(spans: DataFrame, touching: bool = False, tile: int = TILE) -> DataF
         F.when(i == n - 1, F.greatest(x["e"], "add", F.col("nxt")["a"])).otherwise(x["e"]).alias("e"),
         F.when(i == n - 1, F.col("nxt")["s"]).otherwise(F.try_element_at("h", (i + 2).cast("int"))["s"]).alias("next_s"),
     )
-    return known.where(has_head).select("key", F.inline(F.transform("h", ends)))
+    whole = heads.where(n > 0).join(known.where(has_head).select(*on, "add", "nxt"), on)
+    return whole.select("key", F.inline(F.transform("h", ends)))
 
 
 def periods_and_gaps(spans: DataFrame, least_gap: int = 1, most_gap: int | None = None, touching: bool = False, tile: int = TILE) -> DataFrame:
