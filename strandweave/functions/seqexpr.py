@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters to their complements; all others stay.
 _FROM, _TO = "ACGTacgt", "TGCAtgca"
@@ -76,6 +79,32 @@ def sampled(kmer: Column, density: float) -> Column:
     return F.xxhash64(kmer) <= F.lit(int(density * 2**64) - 2**63)
 
 
+def sampled_code(code: Column, density: float) -> Column:
+    """As ``sampled``, by the XXH64 hash with seed 0 of the eight bytes of a k-mer's code, as other tools sample."""
+    if not 0 < density <= 1:
+        raise ValueError("density must be above 0 and at most 1")
+    return F.lit(True) if density == 1 else xxh64_of_long(code) <= F.lit(int(density * 2**64) - 2**63)
+
+
+@F.arrow_udf(T.LongType())
+def xxh64_of_long(value: pa.Array) -> pa.Array:
+    """XXH64 with seed 0 of the eight little-endian bytes of each number, its sign bit flipped so that signed order is its order.
+
+    Spark's own xxhash64 has another seed, and wrap-around sums aren't to be had as expressions."""
+    given = value.is_valid().to_numpy(zero_copy_only=False)
+    x = value.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    # fixed values: the primes of the hash
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    with np.errstate(over="ignore"):
+        h = np.full(len(x), p5 + np.uint64(8), np.uint64) ^ (turn(x * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return pa.array((h ^ np.uint64(1 << 63)).view(np.int64), pa.int64(), mask=~given)
+
+
 def overlapping_windows(length: Column, size: int) -> Column:
     """Array of (start, end) windows of ``size`` at steps of half of it; one window for anything shorter than it."""
     step = max(1, size // 2)

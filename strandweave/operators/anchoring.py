@@ -3,32 +3,51 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import cut
 from ..functions.seqexpr import harmonic_mean
-from .ordered import with_previous
+from .ordered import running_sum, with_previous
 
 
-def nearest_anchors(strings: DataFrame, usable: DataFrame, key: str, k: int, most: int = 20) -> DataFrame:
-    """(key, s, e, side, r, anchor columns): the nearest ``most`` usable k-mers on each side of each string (key, s, e).
+def nearest_anchors(strings: DataFrame, usable: DataFrame, key: str, k: int, most: int | None = 20, tile: int = 1 << 16) -> DataFrame:
+    """(key, s, e, side, r, anchor columns): the nearest ``most`` usable k-mers on each side of each string (key, s, e), or all of them for None.
 
     usable: (key, pos, ...) k-mers that occur once in their read and are in the sketch. Anchors
     don't overlap the string; r counts them from it outwards. Positions are unique on a read, so
-    there are no ties."""
-    met = strings.select(key, "s", "e").join(usable, key)
-    side = F.when(F.col("pos") + k <= F.col("s"), "left").when(F.col("pos") >= F.col("e"), "right")
-    away = F.when(F.col("pos") < F.col("s"), F.col("s") - F.col("pos")).otherwise(F.col("pos") - F.col("e"))
-    rows = met.withColumn("side", side).where("side is not null").withColumn("away", away)
-    rank = F.row_number().over(Window.partitionBy(key, "s", "e", "side").orderBy("away"))
-    return rows.withColumn("r", rank).where(F.col("r") <= most).drop("away")
+    there are no ties.
+
+    Usable k-mers are numbered along their read, by running sums in tiles, and each string learns
+    how many of them end before it and begin before its end. Its anchors are the numbers next to
+    these two, so they come by an equal join and no string ever meets all k-mers of its read.
+    """
+    own = usable.select(key, F.col("pos").cast("bigint").alias("p"), F.lit(1).alias("v"))
+    ends = strings.select(key, F.explode(F.array(F.col("s").cast("bigint") - k, F.col("e").cast("bigint") - 1)).alias("p"), F.lit(0).alias("v"))
+    sums = cut(running_sum(own.unionByName(ends), key, "p", "v", tile, "c"))
+    at = lambda name, p: sums.select(key, F.col("p").alias(p), F.col("c").alias(name))
+    numbered = usable.withColumn("__p", F.col("pos").cast("bigint")).join(at("__c", "__p"), [key, "__p"]).drop("__p")
+    wide = strings.select(key, "s", "e", (F.col("s").cast("bigint") - k).alias("__a"), (F.col("e").cast("bigint") - 1).alias("__b"))
+    wide = wide.join(at("__l", "__a"), [key, "__a"]).join(at("__r", "__b"), [key, "__b"])
+    if most is None:
+        total = usable.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+        wide = wide.join(total, key)
+        low, high = F.lit(1).cast("bigint"), F.col("__n")
+    else:
+        low, high = F.greatest(F.col("__l") - (most - 1), F.lit(1)), F.col("__r") + most
+    side = lambda name, a, b: F.when(a <= b, F.transform(F.sequence(a, b), lambda c: F.struct(F.lit(name).alias("side"), c.alias("__c"))))
+    none = F.filter(F.array(F.struct(F.lit("").alias("side"), F.lit(0).cast("bigint").alias("__c"))), lambda x: F.lit(False))
+    picked = F.concat(F.coalesce(side("left", low, F.col("__l")), none), F.coalesce(side("right", F.col("__r") + 1, high), none))
+    rows = wide.select(key, "s", "e", "__l", "__r", F.inline(picked)).join(numbered, [key, "__c"])
+    r = F.when(F.col("side") == "left", F.col("__l") - F.col("__c") + 1).otherwise(F.col("__c") - F.col("__r"))
+    return rows.select(key, "s", "e", "side", r.cast("int").alias("r"), *(c for c in usable.columns if c != key))
 
 
 def apart_anchors(strings: DataFrame, usable: DataFrame, key: str, k: int, most: int = 20) -> DataFrame:
     """As ``nearest_anchors``, but of anchors that don't overlap each other: from the string outwards,
     the next one is the first at least k letters further. The list of a side is bounded by its read."""
-    near = nearest_anchors(strings, usable, key, k, 1 << 30)
+    near = nearest_anchors(strings, usable, key, k, None)
     lists = near.groupBy(key, "s", "e", "side").agg(F.array_sort(F.collect_list(F.struct("r", "pos"))).alias("x"))
     start = F.filter("x", lambda v: F.lit(False))
     far = lambda acc, v: F.abs(F.try_element_at(acc, F.lit(-1))["pos"] - v["pos"])

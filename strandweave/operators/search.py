@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
+from ..functions.codes import PANEL_END, READ_END, WORD, common_letters, symbols, window_words
+from ..functions.letters import letters, ranges
 from ..functions.lineage import cut
 from ..functions.seqexpr import reverse_complement
 from .intervals import islands
+from .ordered import with_previous
 
 
 def panel_words(panel: DataFrame, seq: str, longest: int) -> DataFrame:
@@ -50,66 +54,199 @@ def minimal_absent(reads: DataFrame, panel: DataFrame, key: str, seq: str, longe
 
 def _minimal(least: DataFrame, key: str) -> DataFrame:
     """(key, s, l) of the shortest absent lengths l of all starts, null for none, that no later start reaches within."""
-    follow = F.lead("l").over(Window.partitionBy(key).orderBy("s"))
-    return least.withColumn("n", follow).where("l is not null and (l = 1 or n is null or n >= l)").select(key, "s", "l")
+    back = least.withColumn("__back", -F.col("s"))
+    follow = with_previous(back, key, ["__back"], ["l"], TILE, "__next").withColumn("n", F.col("__next.l"))
+    return follow.where("l is not null and (l = 1 or n is null or n >= l)").select(key, "s", "l")
 
 
-def _present(words: DataFrame, panel: DataFrame, seq: str, longest: int) -> DataFrame:
-    """(w, lo): how many letters each of the distinct words has in the panel from its start on, by binary search."""
-    held = cut(panel_words(panel, seq, longest)).select(F.col("w").alias("part"), F.lit(True).alias("has"))
-    state = words.select("w", F.lit(0).alias("lo"), (F.length("w") + 1).alias("hi"))
-    for _ in range(longest.bit_length()):
-        asked = state.withColumn("mid", F.when(F.col("hi") - F.col("lo") > 1, ((F.col("lo") + F.col("hi")) / 2).cast("int")))
-        met = asked.withColumn("part", F.substring("w", F.lit(1), F.col("mid"))).join(held, "part", "left")
-        ok, open_ = F.col("has").isNotNull(), F.col("mid").isNotNull()
-        state = met.select("w", F.when(open_ & ok, F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(open_ & ~ok, F.col("mid")).otherwise(F.col("hi")).alias("hi"))
-    return state.select("w", "lo")
+#: Places of a sequence in one row of a search.
+TILE = 1 << 16
 
 
-def _common(a: Column, b: Column, longest: int) -> Column:
-    """Letters that both texts have in common from their start on, up to ``longest``."""
-    steps = F.array(*(F.lit(1 << j) for j in reversed(range(longest.bit_length()))))
-    same = lambda n, k: (n + k <= F.least(F.length(a), F.length(b))) & (F.substring(a, n + 1, k) == F.substring(b, n + 1, k))
-    return F.aggregate(steps, F.lit(0), lambda n, k: n + F.when(same(n, k), k).otherwise(F.lit(0)))
+def _tiles(df: DataFrame, seq: str, keep: list[str], width: int) -> DataFrame:
+    """Long sequences in tiles that overlap by ``width``: (keep..., t, body, rest), rest being the letters from the tile's start on."""
+    n = F.length(seq)
+    rows = df.where(n > 0).select(*keep, F.col(seq).alias("__s"), n.alias("__n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / TILE).cast("int"))).alias("t"))
+    body = F.when(F.col("__n") <= TILE + width, F.substr("__s", F.col("t") * TILE + 1)).otherwise(F.substr("__s", F.col("t") * TILE + 1, F.lit(TILE + width)))
+    return rows.select(*keep, "t", body.alias("body"), (F.col("__n") - F.col("t") * TILE).alias("rest"))
 
 
-def minimal_absent_whole(reads: DataFrame, panel: DataFrame, key: str, seq: str, first: int = 10) -> DataFrame:
-    """As ``minimal_absent``, with no bound on the length and no bound on the panel.
+def _windows(tiles: DataFrame, key: str | None, kind: str, words: int, starts: bool = False) -> DataFrame:
+    """Windows of ``words`` words from each place of the tiles on (or from the places in ``at``): (c0..., key, s, n)."""
+    names = [*(f"c{w}" for w in range(words)), "key", "s", "n"]
 
-    Words of ``first`` letters are looked up, each distinct one once. A start with all of them in
-    the panel is sorted among the panel's suffixes with the same letters; its longest match is the
-    longer of those with its neighbours there. Suffixes are compared as far as twice the letters
-    known, and what matches that far goes into another round, until no start is left undecided.
-    """
-    text, width = F.upper(F.col(seq)), 2 * first
-    from_ = lambda s, size: F.substring(text, s + 1, F.lit(size))
-    rows = reads.where(F.length(seq) > 0).select(key, F.length(text).alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda s: from_(s, width))).alias("s", "x"))
-    starts = rows.select(key, "s", (F.col("n") - F.col("s")).alias("n"), "x", F.substring("x", 1, first).alias("w"))
-    known = starts.join(_present(starts.select("w").distinct(), panel, seq, first), "w")
-    short = F.col("lo") < F.least("n", F.lit(first))
-    known = known.select(key, "s", "n", "x", F.when(short, F.col("lo") + 1).alias("l"), (~short & (F.col("n") > first)).alias("open"))
-    known, decided = cut(known), None
-    strands = panel.select(F.explode(F.array(F.upper(seq), reverse_complement(F.upper(F.col(seq))))).alias("t"))
-    pieces = strands.select(F.explode(F.split("t", "[^ACGT]+")).alias("t"))
+    def work(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                batch = whole.slice(i, 512)
+                codes, offsets = letters(batch.column("body"))
+                own = symbols(codes, key is None)
+                size = np.diff(offsets)
+                rest = batch.column("rest").to_numpy().astype(np.int64)
+                if starts:
+                    lists = batch.column("at")
+                    row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+                    place = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                else:
+                    count = np.minimum(size, TILE)
+                    row = np.repeat(np.arange(batch.num_rows), count)
+                    place = ranges(np.zeros(len(count), np.int64), count)
+                at = offsets[row] + place
+                if key is None:  # only true letters begin a match
+                    true = own[at] < 5
+                    row, place, at = row[true], place[true], at[true]
+                ends = offsets[row] + np.minimum(rest[row], size[row])
+                for a in range(0, len(at), 1 << 20):
+                    z = slice(a, a + (1 << 20))
+                    found = window_words(own, ends[z], at[z], words, PANEL_END if key is None else READ_END)
+                    who = pa.nulls(len(at[z]), arrow) if key is None else batch.column("key").take(pa.array(row[z]))
+                    s = place[z] + batch.column("t").to_numpy().astype(np.int64)[row[z]] * TILE
+                    n = rest[row[z]] - place[z]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in found), who, pa.array(s.astype(np.int32)), pa.array((n if key is not None else n * 0 - 1).astype(np.int32))], names=names)
+
+    arrow = to_arrow_type(_parse_datatype_string(kind))
+    return tiles.mapInArrow(work, ", ".join(f"c{w} bigint" for w in range(words)) + f", key {kind}, s int, n int")
+
+
+def _matches(mixed: DataFrame, kind: str, words: int) -> DataFrame:
+    """(key, s, n, m): for each read's window how many letters it has in common with the panel's nearest windows in order.
+
+    All windows are range-partitioned and sorted; equal ones are spread by a hash, so no letters are
+    a partition's fate. The longest match of a window is the longer of those with the nearest panel
+    windows before and behind it. Partitions tell their first and last panel window, so rows at
+    their borders find their neighbours in a table of two rows a partition."""
+    spark = mixed.sparkSession
+    cols = [f"c{w}" for w in range(words)]
+    arrow = to_arrow_type(_parse_datatype_string(kind))
+    ordered = mixed.repartitionByRange(*cols, F.xxhash64("key", "s")).sortWithinPartitions(*cols)
+    names = ["key", "s", "n", "m", "open", *cols]
+
+    def rows(table, m, open_, at):
+        """Results; only rows that still lack a neighbour, and border rows of the panel, keep their window."""
+        return pa.RecordBatch.from_arrays([table["key"].take(pa.array(at)), pa.array(table["s"][at]), pa.array(table["n"][at]), pa.array(m.astype(np.int32)), pa.array(open_), *(pa.array(table[c][at], mask=~open_) for c in cols)], names=names)
+
+    def scan(batches):
+        held, last, first_seen = [], None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if not (batch.column("n").to_numpy() < 0).any():
+                continue
+            table, held, last_new = take(held)
+            yield from resolve(table, last, True, not first_seen)
+            last, first_seen = last_new, True
+        if held:
+            yield from resolve(load(held), last, False, False)
+        if last is not None:
+            yield border(last)
+
+    def load(parts):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        out = {c: t.column(c).to_numpy() for c in [*cols, "s", "n"]}
+        out["key"] = t.column("key").combine_chunks() if t.column("key").num_chunks != 1 else t.column("key").chunk(0)
+        return out
+
+    def take(parts):
+        """The rows up to the last panel row, those behind it, and that row."""
+        at = int(np.flatnonzero(parts[-1].column("n").to_numpy() < 0)[-1]) + 1
+        head, tail = parts[-1].slice(0, at), parts[-1].slice(at)
+        table = load([*parts[:-1], head])
+        return table, [tail] if tail.num_rows else [], [table[c][-1:].copy() for c in cols]
+
+    def border(own):
+        one = np.ones(1, bool)
+        return pa.RecordBatch.from_arrays([pa.nulls(1, arrow), pa.array(np.zeros(1, np.int32)), pa.array(np.full(1, -1, np.int32)), pa.array(np.zeros(1, np.int32)), pa.array(one), *(pa.array(x) for x in own)], names=names)
+
+    def resolve(table, last, closed, first):
+        panel = table["n"] < 0
+        size = len(panel)
+        place = np.arange(size)
+        before = np.maximum.accumulate(np.where(panel, place, -1))
+        behind = size - 1 - np.maximum.accumulate(np.where(panel[::-1], place, -1))[::-1]
+        mine = np.flatnonzero(~panel)
+        own = [table[c][mine] for c in cols]
+        m = np.zeros(len(mine), np.int64)
+        has = before[mine] >= 0
+        near = [np.where(has, table[c][before[mine]], last[w] if last is not None else 0) for w, c in enumerate(cols)]
+        lacks = ~has & (last is None)
+        m = np.where(lacks, m, common_letters(own, near))
+        if closed:
+            m = np.maximum(m, common_letters(own, [table[c][behind[mine]] for c in cols]))
+        else:
+            lacks = np.ones(len(mine), bool)
+        yield rows(table, m, lacks, mine)
+        if first and panel.any():
+            at = int(np.flatnonzero(panel)[0])
+            yield border([table[c][at : at + 1] for c in cols])
+
+    schema = f"key {kind}, s int, n int, m int, open boolean, " + ", ".join(f"{c} bigint" for c in cols)
+    found = cut(ordered.mapInArrow(scan, schema))
+    # two rows a partition
+    ends = sorted({tuple(r) for r in found.where("n < 0").select(*cols).collect()})
+    held = spark.sparkContext.broadcast(ends)
+    done = found.where("n >= 0 and not open").select("key", "s", "n", "m")
+    if not ends:
+        return done.unionByName(found.where("n >= 0 and open").select("key", "s", "n", "m"))
+
+    def close(batches):
+        edge = np.array(held.value, np.int64).reshape(-1, words)
+        order = np.empty(len(edge), dtype=[(c, np.int64) for c in cols])
+        for w, c in enumerate(cols):
+            order[c] = edge[:, w]
+        for batch in batches:
+            own = [batch.column(c).to_numpy() for c in cols]
+            if not batch.num_rows:
+                continue
+            asked = np.empty(batch.num_rows, dtype=order.dtype)
+            for w, c in enumerate(cols):
+                asked[c] = own[w]
+            at = np.searchsorted(order, asked)
+            m = batch.column("m").to_numpy().astype(np.int64)
+            for near, ok in ((at - 1, at > 0), (np.minimum(at, len(edge) - 1), at < len(edge))):
+                m = np.maximum(m, np.where(ok, common_letters(own, [edge[near, w] for w in range(words)]), 0))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("s"), batch.column("n"), pa.array(m.astype(np.int32))], names=["key", "s", "n", "m"])
+
+    rest = found.where("n >= 0 and open").mapInArrow(close, f"key {kind}, s int, n int, m int")
+    return done.unionByName(rest)
+
+
+def longest_matches(reads: DataFrame, panel: DataFrame, key: str, seq: str) -> DataFrame:
+    """(key, s, n, m): for each place s of each read, with n letters from there on, how many of these occur in a row in the panel, on either strand.
+
+    Windows of 21 letters settle nearly all places. Those that match as a whole go on with windows
+    of twice the length, until none is left. Nothing is bounded but by the texts; each round is
+    one sort of the places left and of the panel's windows."""
+    kind = reads.schema[key].dataType.simpleString()
+    strands = panel.where(F.length(seq) > 0).select(F.explode(F.array(F.col(seq), reverse_complement(F.col(seq)))).alias("x"))
+    texts = reads.where(F.col(key).isNotNull() & (F.length(seq) > 0)).select(F.col(key).alias("key"), F.col(seq).alias("x"))
+    words, own, done = 1, None, None
     while True:
-        done = known.where("not open").select(key, "s", "l")
-        decided = done if decided is None else decided.unionByName(done)
-        rest = known.where("open")
+        width = words * WORD
+        pieces = _windows(_tiles(strands, "x", [], width), None, kind, words)
+        tiles = _tiles(texts, "x", ["key"], width)
+        if own is not None:
+            tiles = tiles.join(own, ["key", "t"])
+        mixed = _windows(tiles, "key", kind, words, own is not None).unionByName(pieces)
+        found = cut(_matches(mixed, kind, words))
+        settled = F.col("m") < F.least(F.lit(width), "n")
+        over = found.where(settled | (F.col("n") <= width))
+        done = over if done is None else done.unionByName(over)
+        rest = found.where(~settled & (F.col("n") > width))
         if rest.isEmpty():
-            return _minimal(decided, key)
-        had = width // 2
-        long = pieces.where(F.length("t") >= had)
-        suffixes = long.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - had + 1), lambda i: F.substring("t", i, F.lit(width)))).alias("y")).distinct()
-        mixed = rest.select(key, "s", "n", "x").unionByName(suffixes.select(F.col("y").alias("x"), "y"), allowMissingColumns=True).withColumn("w", F.substring("x", 1, had))
-        near = [F.last("y", True).over(Window.partitionBy("w").orderBy(o, F.col("y").isNull()).rowsBetween(Window.unboundedPreceding, 0)) for o in (F.col("x").asc(), F.col("x").desc())]
-        met = mixed.select("*", near[0].alias("a"), near[1].alias("b")).where("s is not null")
-        size = F.greatest(*(F.coalesce(_common(F.col("x"), F.col(c), width), F.lit(0)) for c in "ab"))
-        known = met.select(key, "s", "n", size.alias("m"))
-        short = F.col("m") < F.least("n", F.lit(width))
-        known = cut(known.select(key, "s", "n", F.when(short, F.col("m") + 1).alias("l"), (~short & (F.col("n") > width)).alias("open")))
-        width *= 2
-        again = known.where("open").select(key, "s", "n", "l", "open").join(reads.select(key, text.alias("t")), key)
-        known = known.where("not open").withColumn("x", F.lit(None).cast("string")).unionByName(again.select(key, "s", "n", "l", "open", F.substring("t", F.col("s") + 1, F.lit(width)).alias("x")))
+            return done.withColumnRenamed("key", key)
+        own = rest.select("key", F.floor(F.col("s") / TILE).cast("int").alias("t"), (F.col("s") % TILE).alias("p")).groupBy("key", "t").agg(F.array_sort(F.collect_list("p")).alias("at"))
+        words *= 2
+
+
+def minimal_absent_whole(reads: DataFrame, panel: DataFrame, key: str, seq: str) -> DataFrame:
+    """As ``minimal_absent``, with no bound on the length and no bound on the panel.
+
+    The shortest absent string from a place on has one letter more than its longest match; it counts
+    if the one from the next place on reaches at least as far."""
+    found = longest_matches(reads, panel, key, seq)
+    least = found.select(key, "s", F.when(F.col("m") < F.col("n"), F.col("m") + 1).alias("l"))
+    return _minimal(cut(least), key)
 
 
 _CODE = np.zeros(256, np.int64)
@@ -129,7 +266,7 @@ def panel_codes(sequences: list[str]) -> np.ndarray:
     return np.concatenate(parts).astype(np.int64) if parts else np.array([_PANEL_END])
 
 
-def longest_matches(panel: np.ndarray, reads: np.ndarray, longest: int) -> np.ndarray:
+def matches_in_memory(panel: np.ndarray, reads: np.ndarray, longest: int) -> np.ndarray:
     """For each position of the reads, how many letters from there on occur in the panel, up to ``longest``.
 
     Suffixes of both are ranked together by prefix doubling. The longest match of a suffix is the
@@ -194,7 +331,7 @@ def minimal_absent_any(reads: DataFrame, panel: DataFrame, key: str, seq: str, m
         starts = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
         row = np.repeat(np.arange(len(own)), size + 1)
         place = np.arange(len(flat)) - starts[row]
-        n = longest_matches(held.value, flat, int(size.max()))
+        n = matches_in_memory(held.value, flat, int(size.max()))
         absent = np.where(place + n < size[row], n + 1, 0)  # 0: all that is left of the read occurs
         follow = np.append(absent[1:], 0)
         hit = np.flatnonzero((absent > 0) & ((absent == 1) | (follow == 0) | (follow >= absent)))

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import seqexpr as X
+from ..functions.codes import kmer_codes
 from ..operators import search, sketch
 from . import standins as V
 from .standins import K, with_
 from .tables import table
 
-#: Longest word of the search in the SQL; the queries have no bound.
-LONGEST = 10
+#: Letters up to which the SQL of the search looks all starts up at once; only those that match so far are followed to their ends.
+LONGEST = 12
+
+
+def _named(df):
+    """The k-mers as text."""
+    return df.withColumn("kmer", X.decode(F.col("kmer"), K))
 
 
 def kmer_canonical_counts(spark, d):
     """Canonical k-mers of all reads that occur at least twice."""
-    return X.kmers(V.reads(spark, d), "seq", K, ["rid"]).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return _named(kmer_codes(V.reads(spark, d), "seq", K, ["rid"]).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
 
 
 def _sketch(spark, d):
@@ -26,26 +31,33 @@ def _sketch(spark, d):
 
 def sketch_unique_kmers(spark, d):
     """k-mers at exactly one location of the panel."""
-    return _sketch(spark, d).select("kmer", "vid", "pos", "rev", "is_ref")
+    return _named(_sketch(spark, d).select("kmer", "vid", "pos", "rev", "is_ref"))
+
+
+def _path_sketch(spark, d):
+    segs = V.segments(spark, d)
+    occ = sketch.undirected(sketch.path_kmers(V.steps(spark, d), segs, K), segs)
+    return sketch.unique_kmers(occ, ["v1", "pos1", "v2", "pos2"])
 
 
 def sketch_path_kmers(spark, d):
-    """k-mers at exactly one place along spelled paths, in a vertex or across an edge."""
-    occ = sketch.path_kmers(V.steps(spark, d), V.segments(spark, d), K)
-    # one location whatever the strand a path walks it on
-    fwd = X.handle_id(F.col("v1")) <= X.handle_id(F.col("v2"))
-    occ = occ.where((X.handle_rev(F.col("v1")) == F.lit(False)) & (X.handle_rev(F.col("v2")) == F.lit(False)) & fwd)
-    found = sketch.unique_kmers(occ, ["v1", "pos1", "v2", "pos2"])
-    return sketch.within_vertices(found).groupBy("v1").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_ref").alias("n_ref"))
+    """k-mers at exactly one place along paths, whatever the strand they are walked on; those within a vertex, by vertex."""
+    found = sketch.within_vertices(_path_sketch(spark, d))
+    return found.groupBy("v1").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_ref").alias("n_ref"), F.count_if("has_both").alias("n_both"))
+
+
+def sketch_edge_kmers(spark, d):
+    """k-mers at exactly one place along paths that span an edge."""
+    return _named(_path_sketch(spark, d).where("v1 <> v2").select("kmer", "v1", "pos1", "v2", "pos2", "is_ref", "has_both"))
 
 
 def sketch_density_sample(spark, d):
     """A quarter of the sketch, by hash."""
-    return sketch.unique_kmers(sketch.location_kmers(V.panel(spark, d), K, 0.25), ["vid", "pos"]).select("kmer", "vid", "pos")
+    return _named(sketch.unique_kmers(sketch.location_kmers(V.panel(spark, d), K, 0.25), ["vid", "pos"]).select("kmer", "vid", "pos"))
 
 
 def sketch_first_base_bins(spark, d):
-    return sketch.first_base_bins(_sketch(spark, d))
+    return sketch.first_base_bins(_sketch(spark, d), K)
 
 
 def sketch_table_dump(spark, d):
@@ -79,8 +91,7 @@ def kan_long_gaps(spark, d):
 
 def sfs_unique_read_kmers(spark, d):
     """k-mers that occur once in their read and are in the sketch."""
-    once = _hits(spark, d).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("rid", "kmer")))
-    return once.where("hit and c = 1").select("rid", "pos", "kmer")
+    return _named(sketch.found_once(_hits(spark, d), "rid"))
 
 
 def _absent(spark, d):
@@ -136,7 +147,7 @@ def n_content(spark, d):
 
 
 QUERIES = {q.__name__: q for q in (
-    sketch_unique_kmers, kmer_canonical_counts, sketch_path_kmers, sketch_density_sample, sketch_first_base_bins, sketch_table_dump, sketch_ref_share, kan_missed_per_read,
+    sketch_unique_kmers, kmer_canonical_counts, sketch_path_kmers, sketch_edge_kmers, sketch_density_sample, sketch_first_base_bins, sketch_table_dump, sketch_ref_share, kan_missed_per_read,
     kan_uncovered_intervals, kan_long_gaps, sfs_unique_read_kmers, sfs_bounded, sfs_assembled, sfs_full, revcomp_slices, kmer_encode_decode, overlapping_windows, homopolymer_runs, n_content,
 )}
 
@@ -147,32 +158,40 @@ u as (select rid, g, min(case when not hit then pos end) as s, min(case when hit
 c as (select *, lead(hp) over (partition by rid order by g) as e from u)
 """
 _ABSENT = f"""
-strands as (select seq as s from panel union all select reverse(translate(seq, 'ACGT', 'TGCA')) from panel),
+strands as (select distinct s from (select seq as s from panel union all select reverse(translate(seq, 'ACGT', 'TGCA')) from panel)),
 words as (select distinct substr(s, i, n) as w from (select s, unnest(range(1, length(s) + 1)) as i from strands), range(1, {LONGEST + 1}) t(n) where i + n - 1 <= length(s)),
 held as (select w from words where regexp_full_match(w, '[ACGT]+')),
-starts as (select rid, i - 1 as s, substr(seq, i, {LONGEST}) as x from (select rid, seq, unnest(range(1, length(seq) + 1)) as i from reads)),
+starts as (select rid, i - 1 as s, length(seq) - i + 1 as rest, substr(seq, i, {LONGEST}) as x from (select rid, seq, unnest(range(1, length(seq) + 1)) as i from reads)),
 pre as (select rid, s, n, substr(x, 1, n) as w from starts, range(1, {LONGEST + 1}) t(n) where n <= length(x)),
 al as (select rid, s, min(case when held.w is null then n end) as l from pre left join held on pre.w = held.w group by rid, s),
-fo as (select *, lead(l) over (partition by rid order by s) as nx from al),
+far as (select rid, s, rest, substr(seq, s + 1) as x from al join starts using (rid, s) join reads using (rid) where l is null and rest > {LONGEST}),
+heads as (select distinct left(x, {LONGEST}) as h from far),
+sufs as (select distinct h, substr(s, i) as y from heads join (select s, unnest(range(1, length(s) - {LONGEST} + 2)) as i from strands where length(s) >= {LONGEST}) on substr(s, i, {LONGEST}) = h),
+deep as (select rid, s, rest, max(list_max(list_transform(range(1, least(length(x), length(y)) + 1), lambda n: case when left(x, n) = left(y, n) then n else 0 end))) as m from far join sufs on left(x, {LONGEST}) = h group by rid, s, rest),
+every as (select al.rid, al.s, coalesce(al.l, case when m < rest then m + 1 end) as l from al left join deep using (rid, s)),
+fo as (select *, lead(l) over (partition by rid order by s) as nx from every),
 absent as (select rid, s, l from fo where l is not null and (l = 1 or nx is null or nx >= l))
 """
 
-SQL = {
-    "sketch_unique_kmers": with_("panel", "pk") + "select kmer, vid, pos, rev, is_ref from uk",
-    "kmer_canonical_counts": with_("reads", "rk") + "select kmer, count(*) as n from rk group by kmer having count(*) > 1",
-    "sketch_path_kmers": with_("panel", "steps")
-    + f"""
+_PATHS = with_("panel", "steps") + f"""
 , s as (select path, step, is_ref, h, case when rev then reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) else seq end as x from (select steps.*, seq from steps join panel using (vid))),
 o as (select *, sum(length(x)) over (partition by path order by step) - length(x) as a from s),
 p as (select path, bool_or(is_ref) as is_ref, string_agg(x, '' order by step) as seq from s group by path),
 k0 as (select path, is_ref, seq, unnest(range(1, length(seq) - {K - 2})) as i from p where length(seq) >= {K}),
 k as (select path, is_ref, i - 1 as pos, substr(seq, i, {K}) as w from k0),
-l as (select w, k.is_ref, f.h as v1, pos - f.a as pos1, t.h as v2, pos + {K - 1} - t.a as pos2 from k
+l as (select w, k.is_ref, (f.h, pos - f.a, t.h, pos + {K - 1} - t.a) as way, (xor(t.h, 1), length(t.x) - 1 - (pos + {K - 1} - t.a), xor(f.h, 1), length(f.x) - 1 - (pos - f.a)) as back from k
       join o f on k.path = f.path and pos >= f.a and pos < f.a + length(f.x) join o t on k.path = t.path and pos + {K - 1} >= t.a and pos + {K - 1} < t.a + length(t.x)
-      where regexp_full_match(w, '[ACGT]+') and f.h % 2 = 0 and t.h % 2 = 0 and f.h <= t.h),
-q as (select least(w, reverse(translate(w, 'ACGT', 'TGCA'))) as kmer, min((v1, pos1, v2, pos2)) as lo, max((v1, pos1, v2, pos2)) as hi, bool_or(is_ref) as is_ref, min(v1) as v1, min(v2) as v2 from l group by 1)
-select v1, count(*) as n, count(*) filter (where is_ref) as n_ref from q where lo = hi and v1 = v2 group by v1
-""",
+      where regexp_full_match(w, '[ACGT]+')),
+c as (select least(w, reverse(translate(w, 'ACGT', 'TGCA'))) as kmer, is_ref, case when way <= back then way else back end as loc, way > back as turned from l),
+q0 as (select kmer, min(loc) as lo, max(loc) as hi, bool_or(is_ref) as is_ref, bool_or(turned) and bool_or(not turned) as has_both from c group by 1),
+q as (select kmer, lo[1] as v1, lo[2] as pos1, lo[3] as v2, lo[4] as pos2, is_ref, has_both from q0 where lo = hi)
+"""
+
+SQL = {
+    "sketch_unique_kmers": with_("panel", "pk") + "select kmer, vid, pos, rev, is_ref from uk",
+    "kmer_canonical_counts": with_("reads", "rk") + "select kmer, count(*) as n from rk group by kmer having count(*) > 1",
+    "sketch_path_kmers": _PATHS + "select v1, count(*) as n, count(*) filter (where is_ref) as n_ref, count(*) filter (where has_both) as n_both from q where v1 = v2 group by v1",
+    "sketch_edge_kmers": _PATHS + "select kmer, v1, cast(pos1 as bigint) as pos1, v2, cast(pos2 as bigint) as pos2, is_ref, has_both from q where v1 <> v2",
     "sketch_first_base_bins": with_("panel", "pk") + "select left(kmer, 1) as base, count(*) as n, round(avg(is_ref::int), 6) as ref_share from uk group by 1",
     "sketch_table_dump": f"""select row_id, {_DECODE} as kmer, concat_ws('>', pos1, pos2) as pos,
         case when rev1 then '<' else '>' end || v1 || case when rev2 then '<' else '>' end || v2 as vertices, has_both::int as rc, is_ref::int as ref from sketch where sxs >= 0""",
@@ -182,17 +201,18 @@ select v1, count(*) as n, count(*) filter (where is_ref) as n_ref from q where l
     "kan_long_gaps": with_("reads", "panel", "rk", "pk", "hit") + "," + _RUNS + "select rid, s, e from c where s is not null and e - s > 40",
     "sfs_unique_read_kmers": with_("reads", "panel", "rk", "pk", "hit") + ", o as (select *, count(*) over (partition by rid, kmer) as c from hit) select rid, pos, kmer from o where hit and c = 1",
     "sfs_bounded": with_("reads", "panel") + "," + _ABSENT + "select l, count(*) as n, cast(sum((rid % 1000) * (s + 1)) as bigint) as places from absent group by l",
+    "sfs_full": with_("reads", "panel") + "," + _ABSENT + "select l, count(*) as n from absent group by l",
     "sfs_assembled": with_("reads", "panel") + "," + _ABSENT + """
 , m as (select *, max(s + l) over (partition by rid order by s rows between unbounded preceding and 1 preceding) as b from absent),
 g as (select *, sum(case when b is null or s >= b then 1 else 0 end) over (partition by rid order by s) as g from m)
 select rid, min(s) as s, max(s + l) - min(s) as l from g group by rid, g""",
-    "revcomp_slices": with_("panel") + """, p as (select vid, substr(seq, 3, 10) as slice from panel where len >= 12)
-select vid, slice, reverse(translate(slice, 'ACGTacgt', 'TGCAtgca')) as rc, least(slice, reverse(translate(slice, 'ACGTacgt', 'TGCAtgca'))) as canonical from p""",
-    "kmer_encode_decode": with_("panel") + """, p as (select vid, left(seq, 21) as w from panel where len >= 21 and regexp_full_match(left(seq, 21), '[ACGT]+'))
-select vid, cast(list_sum(list_transform(range(21), lambda j: (position(substr(w, (j + 1)::int, 1) in 'ACGT') - 1)::bigint << (40 - 2 * j)::int)) as bigint) as code, w as word from p""",
+    "revcomp_slices": with_("panel") + """, p as (select vid, a, substr(seq, a + 1, 10) as slice from (select vid, seq, unnest(range(0, len, 10)) as a from panel))
+select vid, a as "at", slice, reverse(translate(slice, 'ACGTacgt', 'TGCAtgca')) as rc, least(slice, reverse(translate(slice, 'ACGTacgt', 'TGCAtgca'))) as canonical from p""",
+    "kmer_encode_decode": with_("panel") + """, p as (select vid, i - 1 as pos, substr(seq, i, 21) as w from (select vid, seq, unnest(range(1, len - 19)) as i from panel where len >= 21))
+select vid, pos, cast(list_sum(list_transform(range(21), lambda j: (position(substr(w, (j + 1)::int, 1) in 'ACGT') - 1)::bigint << (40 - 2 * j)::int)) as bigint) as code, w as word from p where regexp_full_match(w, '[ACGT]+')""",
     "overlapping_windows": with_("panel") + """, w as (select vid, seq, len, unnest(case when len >= 50 then range(0, len, 25) else [0] end) as a from panel)
 select vid, a as start, least(a + 50, len) as end, substr(seq, a + 1, 50) as piece from w""",
-    "homopolymer_runs": with_("panel") + """, p as (select vid, seq, unnest(range(0, len, 10)) as a from panel), q as (select vid, a, substr(seq, a + 1) as r from p)
+    "homopolymer_runs": with_("panel") + """, p as (select vid, seq, unnest(range(0, len)) as a from panel), q as (select vid, a, substr(seq, a + 1) as r from p)
 select vid, a as "at", length(r) - length(ltrim(r, left(r, 1))) as run from q""",
     "n_content": """with u as (select sfs_id, upper(plain_seq) as u from sfs where plain_seq is not null and plain_seq not in ('', '.')), n as (select sfs_id, length(u) - length(replace(u, 'N', '')) as n, u from u)
 select sfs_id, n, round(n / length(u), 6) as share from n where n > 0""",

@@ -50,10 +50,10 @@ def build_sketch(segments: DataFrame, steps: DataFrame, k: int, density: float =
 def specific_strings(reads: DataFrame, segments: DataFrame, steps: DataFrame, table: DataFrame, k: int, anchors: int = 20, longest: int | None = None, guard: int = 20_000) -> DataFrame:
     """SFS rows: strings of reads that no path spells, widened to the nearest anchors on the best path.
 
-    ``longest`` bounds the absent substrings and keeps the search in joins; without it the panel must fit a task.
+    ``longest`` bounds the absent substrings, which then are found by joins with all words of the panel; without it nothing is bounded.
     Flags: 0 anchored, 1 no anchors on a side, 2 no common path, 3 no path within ``guard`` bases."""
     panel = U.spelled(segments.select(F.col("vid").cast("string").alias("id"), "seq"), steps.select("path", "step", F.col("vid").cast("string").alias("id"), "rev"))
-    absent = search.minimal_absent(reads, panel, "rname", "seq", longest) if longest else search.minimal_absent_any(reads, panel, "rname", "seq")
+    absent = search.minimal_absent(reads, panel, "rname", "seq", longest) if longest else search.minimal_absent_whole(reads, panel, "rname", "seq")
     strings = cut(search.assemble(absent, "rname").select("rname", "s", (F.col("s") + F.col("l")).alias("e")))
     inner = table.where("not spans_edge")
     hits = sketch.hits(reads, inner, "rname", "seq", k)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import seqexpr as X
+from ..functions.codes import kmer_codes
+from ..functions.lineage import cut
 from ..operators import align as A
 from ..operators import anchoring as N
 from ..operators import graph as G
@@ -19,14 +21,17 @@ from .tables import table
 
 #: Anchors a side in these queries, as in the reference.
 ANCHORS = 20
-#: Anchors a side in the SQL, which has fewer.
-MOST = 5
+
+
+def _strings(spark, d):
+    """Uncovered stretches of reads as specific strings, and the usable k-mers of reads; both are written once."""
+    found = cut(Q._hits(spark, d))
+    return cut(S.uncovered(found, "rid")), cut(S.found_once(found, "rid"))
 
 
 def _anchors(spark, d):
-    found = Q._hits(spark, d)
-    usable = Q.sfs_unique_read_kmers(spark, d)
-    return S.uncovered(found, "rid"), N.nearest_anchors(S.uncovered(found, "rid"), usable, "rid", K, ANCHORS)
+    strings, usable = _strings(spark, d)
+    return strings, N.nearest_anchors(strings, usable, "rid", K, ANCHORS)
 
 
 def _anchors_side(side):
@@ -42,12 +47,12 @@ anchors_topn_left, anchors_topn_right = _anchors_side("left"), _anchors_side("ri
 
 def anchors_apart(spark, d):
     """Anchors that don't overlap each other."""
-    strings, _ = _anchors(spark, d)
-    return N.apart_anchors(strings, Q.sfs_unique_read_kmers(spark, d), "rid", K, ANCHORS).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
+    return N.apart_anchors(*_strings(spark, d), "rid", K, ANCHORS).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
 
 
 def _chosen(spark, d):
     strings, anchors = _anchors(spark, d)
+    anchors = cut(anchors)
     located = anchors.join(Q._sketch(spark, d).select("kmer", "vid"), "kmer")
     return strings, anchors, N.best_paths(located, V.steps(spark, d).select("vid", "path").distinct(), "rid")
 
@@ -100,8 +105,9 @@ def kmer5_profile_canberra(spark, d):
 
 def kmer5_profiles(spark, d):
     """5-mers of candidate sequences, counted anew."""
-    rows = X.kmers(table(spark, d, "cand_paths").where("sequence is not null"), "sequence", 5, ["cp_id"])
-    return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cp_id").alias("records"))
+    rows = kmer_codes(table(spark, d, "cand_paths").where("sequence is not null"), "sequence", 5, ["cp_id"])
+    counted = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cp_id").alias("records"))
+    return counted.withColumn("kmer", X.decode(F.col("kmer"), 5))
 
 
 def affine_align(spark, d):
@@ -345,7 +351,7 @@ _ANCHOR = f"""{_HIT},
 st as (select rid, s, e from c where s is not null and e is not null),
 us as (select rid, pos, kmer from (select *, count(*) over (partition by rid, kmer) as n from hit) where hit and n = 1),
 an0 as (select st.*, us.pos, us.kmer, case when us.pos + {K} <= s then 'left' when us.pos >= e then 'right' end as side from st join us on st.rid = us.rid),
-an as (select * from (select *, row_number() over (partition by rid, s, e, side order by case when pos < s then s - pos else pos - e end) as r from an0 where side is not null) where r <= {MOST})
+an as (select * from (select *, row_number() over (partition by rid, s, e, side order by case when pos < s then s - pos else pos - e end) as r from an0 where side is not null) where r <= {ANCHORS})
 """
 _CHOSEN = _ANCHOR + ", " + V.SQL["steps"] + """,
 lp as (select distinct vid, path from steps),
