@@ -19,14 +19,26 @@ def folder(spark) -> str:
     return named
 
 
+def place(spark) -> str:
+    """A new path in the application's part of the shared folder."""
+    return f"{folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def drop_all(spark) -> None:
+    """Removes everything that the application has written to the shared folder; what reads it must have ended."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The DataFrame, written to and read from the shared folder.
 
     A table rather than a checkpoint: it survives the loss of any executor as well, takes less
     room, and tells its true size to the planner, whose estimates would else multiply in a loop
     of joins until they are numbers of millions of digits. Tables lie in a folder of the
-    application, which can be dropped when it has ended."""
+    application; ``drop_all`` removes it when its results have been taken."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = place(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.seqexpr import handle_id, reverse_complement
 from .ranks import dense_index
+from .skew import CROWDED, join_to_unique
 
 #: Steps a block; running sums along a path are made within blocks, so a path of any length is no task of its own.
 BLOCK = 1 << 16
@@ -139,43 +140,87 @@ def novel_usage(steps: DataFrame, mapped: DataFrame) -> DataFrame:
     return novel_vertices(steps).join(uses, "h", "left").select("h", F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
+def mirrored(edges: DataFrame) -> DataFrame:
+    """The edges and each of them walked the other way round, so that in-neighbours are out-neighbours too."""
+    return edges.unionByName(edges.select(flip(F.col("h2")).alias("h1"), flip(F.col("h1")).alias("h2"))).distinct()
+
+
 def redundant_siblings(edges: DataFrame, segments: DataFrame, novel: DataFrame) -> DataFrame:
-    """(h1, v, w): out-neighbours v of one vertex that are novel and spell the same as another one, w."""
+    """(h1, v, w): out-neighbours v of one vertex that are novel and spell the same as another one, w.
+
+    Sequences meet by their neighbour, length and hash and are then compared as a whole."""
     seq = segments.select("vid", "seq")
     outs = edges.withColumn("vid", handle_id(F.col("h2"))).join(seq, "vid").select("h1", F.col("h2").alias("v"), F.when(F.col("h2") % 2 == 1, reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+    outs = outs.withColumns({"n": F.length("seq"), "x": F.xxhash64("seq")})
     left = outs.join(novel.select(F.col("h").alias("v")), "v", "left_semi")
-    return left.join(outs.select("h1", F.col("v").alias("w"), "seq"), ["h1", "seq"]).where("v <> w").select("h1", "v", "w").distinct()
+    right = outs.select("h1", "n", "x", F.col("v").alias("w"), F.col("seq").alias("other"))
+    return left.join(right, ["h1", "n", "x"]).where("v <> w and seq = other").select("h1", "v", "w").distinct()
+
+
+def stranded_subpaths(pairs: DataFrame, steps: DataFrame, strands: int = 3, limit: int | None = None, reference_only: bool = False) -> DataFrame:
+    """(h1, h2, strand, path, s1, s2): as ``subpaths``, on the strands of the mask (1 is +, 2 is -, 3 both).
+
+    On the - strand a path goes from the turned h2 to the turned h1; s1 and s2 are its steps on the
+    turned h1 and h2, so s1 is the greater one. ``limit`` counts both strands together, the + strand first."""
+    own = steps.where("is_ref") if reference_only else steps
+    parts = []
+    if strands & 1:
+        parts.append(subpaths(pairs, own).withColumn("strand", F.lit("+")))
+    if strands & 2:
+        turned = subpaths(pairs.select(flip(F.col("h2")).alias("h1"), flip(F.col("h1")).alias("h2")), own)
+        parts.append(turned.select(flip(F.col("h2")).alias("h1"), flip(F.col("h1")).alias("h2"), "path", F.col("s2").alias("s1"), F.col("s1").alias("s2"), F.lit("-").alias("strand")))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if limit is not None:
+        first = Window.partitionBy("h1", "h2").orderBy("strand", "path", "s1")
+        found = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= limit).drop("r")
+    return found.select("h1", "h2", "strand", "path", "s1", "s2")
 
 
 # --- recursion ---------------------------------------------------------------------------------
 
 
-def spellings(targets: DataFrame, edges: DataFrame, segments: DataFrame, most: int = 1024, rounds: int | None = None) -> DataFrame:
-    """(key, walk): all walks of the graph from ``source`` to ``sink`` that spell ``seq``, for targets (key, source, sink, seq).
+def spellings(targets: DataFrame, edges: DataFrame, segments: DataFrame, most: int = 1024) -> DataFrame:
+    """(key, walk): the walks of the graph from ``source`` to ``sink`` that spell ``seq``, for targets
+    (key, source, sink, seq); of over ``most`` walks of a key those of the lowest handles, compared from the source on.
 
-    Each round adds a vertex to the walks that still spell a prefix; at most ``most`` walks of a
-    key, those of the lowest handles, go on. Vertices without letters are left out, so each
-    round gets further and the longest target bounds the rounds, if not ``rounds`` does.
+    From the sink backwards, the places at which a vertex can stand so that the rest of the target
+    is spelled to its end are found first: one row a (key, vertex, place), however many walks
+    lead through it. Walks then grow from the source over these places only, so each of them
+    comes to the sink, and those beyond the lowest ``most`` can go. Vertices without letters are
+    left out, so each round gets further; the longest target bounds the rounds.
     """
-    oriented = lambda h: F.when(h % 2 == 1, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     segs = segments.where("length(seq) > 0").select("vid", "seq")
     both = segs.select((F.col("vid") * 2).alias("h"), F.col("seq").alias("x")).unionByName(segs.select((F.col("vid") * 2 + 1).alias("h"), reverse_complement(F.col("seq")).alias("x")))
-    nexts = edges.join(both, F.col("h2") == F.col("h")).select("h1", "h2", "x")
-    state = targets.join(both, F.col("source") == F.col("h")).where(F.col("seq").startswith(F.col("x")))
-    state = state.select("key", "sink", "seq", F.col("h").alias("at"), F.length("x").alias("pos"), F.array("h").alias("walk"))
-    done, n = None, 0
-    while n != rounds:
+    befores = cut(edges.join(both, F.col("h1") == F.col("h")).select("h2", "h1", "x"))
+    start = targets.join(both, F.col("sink") == F.col("h")).where(F.col("seq").endswith(F.col("x")))
+    state = cut(start.select("key", "h", (F.length("seq") - F.length("x")).alias("pos")))
+    live, texts, n = state, cut(targets.select("key", "seq")), 0
+    while not state.isEmpty():
         n += 1
-        ends = state.where("at = sink and pos = length(seq)").select("key", "walk")
+        grown = state.where("pos > 0").join(befores, F.col("h") == F.col("h2")).join(texts, "key")
+        at = F.col("pos") - F.length("x")
+        grown = grown.where((at >= 0) & (F.substr("seq", at + 1, F.length("x")) == F.col("x")))
+        state = cut(grown.select("key", F.col("h1").alias("h"), at.alias("pos")).distinct().join(live, ["key", "h", "pos"], "left_anti"))
+        live = live.unionByName(state)
+        if n % 8 == 0:
+            live = cut(live)
+    live = cut(live)
+    lengths = both.select("h", F.length("x").alias("len"))
+    whole = targets.select("key", "source", "sink", F.length("seq").alias("n"))
+    state = whole.join(live.where("pos = 0"), "key").where("h = source").join(lengths, "h")
+    state = cut(state.select("key", "sink", "n", F.col("h").alias("at"), F.col("len").alias("pos"), F.array("h").alias("walk")))
+    done = None
+    nexts = cut(edges.join(lengths, F.col("h2") == F.col("h")).select("h1", "h2", "len"))
+    first = Window.partitionBy("key").orderBy("walk")
+    while True:
+        ends = state.where("at = sink and pos = n").select("key", "walk")
         done = ends if done is None else done.unionByName(ends)
-        grown = state.where("pos < length(seq)").join(nexts, F.col("at") == F.col("h1"))
-        rest = F.substr("seq", F.col("pos") + 1, F.length("x"))
-        grown = grown.where(rest == F.col("x")).select("key", "sink", "seq", F.col("h2").alias("at"), (F.col("pos") + F.length("x")).alias("pos"), F.concat("walk", F.array("h2")).alias("walk"))
-        ranked = grown.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("walk"))).where(F.col("r") <= most).drop("r")
-        state = cut(ranked)
+        grown = state.where("pos < n").join(nexts, F.col("at") == F.col("h1"))
+        held = live.select("key", F.col("h").alias("h2"), "pos")
+        grown = grown.join(held, ["key", "h2", "pos"], "left_semi").select("key", "sink", "n", F.col("h2").alias("at"), (F.col("pos") + F.col("len")).alias("pos"), F.concat("walk", F.array("h2")).alias("walk"))
+        state = cut(grown.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).drop("r"))
         if state.isEmpty():
-            break
-    return done
+            return done.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).drop("r")
 
 
 def first_reached(sources: DataFrame, edges: DataFrame, wanted: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -199,44 +244,44 @@ def first_reached(sources: DataFrame, edges: DataFrame, wanted: DataFrame, round
     return sources.select("vid").distinct().join(settled, "vid").select("vid", "depth", "found")
 
 
-def components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(vid, component): weakly connected components, each named by its lowest vertex.
 
     Labels go to the neighbours and then jump to the label of their label, so paths shorten by
     half in each round. Each round is a few combined aggregations, written to the checkpoint
-    folder; the number of vertices that changed ends the loop.
+    folder; the rounds end when no label changes. Rows of a label that many vertices share are
+    never shuffled by it (``join_to_unique``).
     """
     pairs = edges.select("a", "b").where("a <> b")
     both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = vertices.select("vid", F.col("vid").alias("l")).distinct()
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both["b"] == label["vid"]).groupBy("a").agg(F.min("l").alias("m"))
         low = label.join(near, label["vid"] == near["a"], "left").select("vid", "l", F.least("l", "m").alias("n"))
         # the old label's vertex learns the lower one as well
         told = low.groupBy(F.col("l").alias("vid")).agg(F.min("n").alias("t"))
-        low = low.join(told, "vid", "left").select("vid", "l", F.least("n", "t").alias("n"))
+        low = cut(low.join(told, "vid", "left").select("vid", "l", F.least("n", "t").alias("n")))
         up = low.select(F.col("vid").alias("n"), F.col("n").alias("j"))
-        jumped = low.join(up, "n", "left").select("vid", F.col("l").alias("old"), F.least("n", "j").alias("l"))
-        jumped = cut(jumped)
+        jumped = cut(join_to_unique(low, up, "n", "left", crowded).select("vid", F.col("l").alias("old"), F.least("n", "j").alias("l")))
         label = jumped.select("vid", "l")
         if jumped.where("old <> l").isEmpty():
-            break
-    return label.select("vid", F.col("l").alias("component"))
+            return label.select("vid", F.col("l").alias("component"))
 
 
-def chain_heads(vertices: DataFrame, joined: DataFrame, key: str = "vid") -> DataFrame:
+def chain_heads(vertices: DataFrame, joined: DataFrame, key: str = "vid", crowded: int = CROWDED) -> DataFrame:
     """(key, head, place) of chains given by edges (a, b) with one way out of a and one into b.
 
     Each vertex jumps to the pointer of its pointer, so the number of rounds is the logarithm of
-    the number of edges. Vertices of closed rings never reach a head and stay alone."""
+    the number of edges. Vertices of closed rings never reach a head and stay alone. A head that
+    many vertices share isn't shuffled by (``join_to_unique``)."""
     joined = cut(joined.select(F.col("b").alias(key), F.col("a").alias("up")))
     state = cut(vertices.select(key).distinct().join(joined, key, "left").select(key, F.coalesce("up", key).alias("head"), F.col("up").isNotNull().cast("bigint").alias("place")))
     for _ in range(joined.count().bit_length()):
         up = state.select(F.col(key).alias("head"), F.col("head").alias("h2"), F.col("place").alias("p2"))
-        state = cut(state.join(up, "head").select(key, F.col("h2").alias("head"), (F.col("place") + F.col("p2")).alias("place")))
+        state = cut(join_to_unique(state, up, "head", "inner", crowded).select(key, F.col("h2").alias("head"), (F.col("place") + F.col("p2")).alias("place")))
     inner = joined.select(F.col(key).alias("head"), F.lit(True).alias("ring"))
     own = F.coalesce("ring", F.lit(False))
-    return state.join(inner, "head", "left").select(key, F.when(own, F.col(key)).otherwise(F.col("head")).alias("head"), F.when(own, 0).otherwise(F.col("place")).cast("bigint").alias("place"))
+    return join_to_unique(state, inner, "head", "left", crowded).select(key, F.when(own, F.col(key)).otherwise(F.col("head")).alias("head"), F.when(own, 0).otherwise(F.col("place")).cast("bigint").alias("place"))
 
 
 def unary_chains(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cleaning, graph_queries, kmer_queries, report_queries
+from . import cleaning, file_queries, graph_queries, kmer_queries, report_queries
 
-MODULES = (cleaning, kmer_queries, graph_queries, report_queries)
+MODULES = (cleaning, kmer_queries, graph_queries, report_queries, file_queries)
 
 
 def queries():

@@ -251,6 +251,11 @@ def read_list(spark: SparkSession, path, name: str = "name") -> DataFrame:
     return _lines(spark, path).select(F.trim("value").alias(name)).where(F.col(name) != "").distinct()
 
 
+def read_table(spark: SparkSession, path, schema: str) -> DataFrame:
+    """Fields by tab without a header, as ``name type, ...``; points and what can't be converted become nulls."""
+    return _fields(_lines(spark, path)).select(*_typed(schema))
+
+
 def read_report(spark: SparkSession, path, schema: str, header: bool = True) -> DataFrame:
     """A report table as CSV; several files with a header each are one table."""
     return spark.read.schema(schema).option("header", header).csv(path)

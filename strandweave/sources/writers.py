@@ -114,6 +114,11 @@ def sam_lines(records: DataFrame, contigs: DataFrame) -> DataFrame:
     return head.unionByName(records.select(F.lit(2).alias("rank"), row.alias("value")))
 
 
+def write_sam(path: str, records: DataFrame, contigs: DataFrame) -> None:
+    """Header and records, over as many files as their order needs."""
+    sam_lines(records, contigs).repartitionByRange("rank").sortWithinPartitions("rank").select("value").write.mode("overwrite").text(path)
+
+
 def bed_lines(df: DataFrame, cols: tuple[str, ...] = ("chrom", "s", "e")) -> DataFrame:
     return df.select(_row(*(F.col(c).cast("string") for c in cols)))
 

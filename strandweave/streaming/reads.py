@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ..functions.codes import kmer_codes
 from ..functions.seqexpr import kmers
 from ..sources.schemas import FASTX
 
@@ -25,8 +27,9 @@ def stream_table(spark: SparkSession, folder: str, schema: str = FASTX) -> DataF
 
 
 def stream_missed(reads: DataFrame, sketch: DataFrame, k: int) -> DataFrame:
-    """Each k-mer of each read with whether the (static) sketch holds it; stateless, so a query may append it."""
-    own = kmers(reads, "seq", k, ["name"])
+    """Each k-mer of each read with whether the (static) sketch holds it, as text or as codes; stateless, so a query may append it."""
+    as_text = isinstance(sketch.schema["kmer"].dataType, StringType)
+    own = (kmers if as_text else kmer_codes)(reads, "seq", k, ["name"])
     return own.join(sketch.select("kmer", F.lit(True).alias("hit")), "kmer", "left").select("name", "pos", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
