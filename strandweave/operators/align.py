@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.seqexpr import run_length
+from ..functions.seqexpr import reverse_complement, run_length
 from .ranks import dense_index
 
 #: Match, mismatch and both gap costs (open, extend) of the consensus alignment.
@@ -172,6 +174,59 @@ def anchored_ends(cigar: Column) -> Column:
     return cigar.rlike("^[0-9]+[M=X]") & cigar.rlike("[M=X]\\z")
 
 
+_GAPPED = T.StructType([T.StructField("query", T.StringType()), T.StructField("target", T.StringType())])
+_TOLD = T.StructType([T.StructField("cigar", T.StringType()), T.StructField("cs", T.StringType()), T.StructField("matches", T.IntegerType()), T.StructField("nm", T.IntegerType())])
+
+
+def gapped_pair(query: str, target: str, cigar: str) -> tuple[str, str]:
+    """Both strings with a dash for each letter that the other has alone."""
+    a, b, i, j = [], [], 0, 0
+    for size, op in re.findall("([0-9]+)([MIDX=])", cigar):
+        n = int(size)
+        a.append("-" * n if op == "D" else query[i : i + n])
+        b.append("-" * n if op == "I" else target[j : j + n])
+        i, j = i + (op != "D") * n, j + (op != "I") * n
+    return "".join(a), "".join(b)
+
+
+@F.arrow_udf(_GAPPED)
+def gapped(query: pa.Array, target: pa.Array, cigar: pa.Array) -> pa.Array:
+    out = [None if None in x else dict(zip(("query", "target"), gapped_pair(*x))) for x in zip(query.to_pylist(), target.to_pylist(), cigar.to_pylist())]
+    return pa.array(out, pa.struct([("query", pa.string()), ("target", pa.string())]))
+
+
+def told_by_gaps(query: str, target: str) -> tuple[str, str, int, int]:
+    """(CIGAR with M, I, D, difference string, matches, edit distance) of two gapped strings of one length."""
+    a, b = (np.frombuffer(x.encode("ascii", "replace"), np.uint8) for x in (query, target))
+    kind = np.where(a == 45, 2, np.where(b == 45, 1, 0))
+    head = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(head, len(kind)))
+    cigar = "".join(f"{n}{'MID'[k]}" for n, k in zip(sizes.tolist(), kind[head].tolist()))
+    cs, matches, nm = difference_string(query.replace("-", ""), target.replace("-", ""), cigar)
+    return cigar, cs, matches, nm
+
+
+@F.arrow_udf(_TOLD)
+def from_gapped(query: pa.Array, target: pa.Array) -> pa.Array:
+    """``told_by_gaps`` for columns; null if either is."""
+    out = [None if None in x else dict(zip(("cigar", "cs", "matches", "nm"), told_by_gaps(*x))) for x in zip(query.to_pylist(), target.to_pylist())]
+    return pa.array(out, pa.struct([("cigar", pa.string()), ("cs", pa.string()), ("matches", pa.int32()), ("nm", pa.int32())]))
+
+
+def widened_to_anchors(spans: DataFrame, ops: DataFrame, key: str, least: int = 7) -> DataFrame:
+    """(key, q1, q2, p1, p2): each span (key, s, e) of a query widened on both sides to the nearest ``least``
+    equal letters in a row, these included, with the same stretch of the path. One span a key.
+
+    ops: ``operations`` with =, X, I, D. Spans without such letters on both sides are left out."""
+    equal = ops.where((F.col("op") == "=") & (F.col("len") >= least)).select(key, F.col("p"), F.col("q"), F.col("len").cast("bigint").alias("n"))
+    met = spans.join(equal, key)
+    a, b = F.least(F.col("q") + F.col("n"), F.col("s")), F.greatest("q", "e")
+    left = F.when(a >= F.col("q") + least, F.struct((a - least).alias("x"), (F.col("p") + a - least - F.col("q")).alias("p")))
+    right = F.when(b <= F.col("q") + F.col("n") - least, F.struct((b + least).alias("x"), (F.col("p") + b + least - F.col("q")).alias("p")))
+    ends = met.groupBy(key).agg(F.max(left).alias("l"), F.min(right).alias("r")).where("l is not null and r is not null")
+    return ends.select(key, F.col("l.x").alias("q1"), F.col("r.x").alias("q2"), F.col("l.p").alias("p1"), F.col("r.p").alias("p2"))
+
+
 # --- consensus ---------------------------------------------------------------------------------
 
 
@@ -296,6 +351,18 @@ def homopolymer_indels(ops: DataFrame, refs: DataFrame, key: str, size: int = 3,
     return rows.withColumn("drop", indel & (run_length(F.col("ref"), F.col("p").cast("int")) > run)).drop("ref")
 
 
+def on_strand(placed: DataFrame, k: int) -> DataFrame:
+    """Strings for ``reference_records`` from (name, contig, p1, p2, seq): the offsets of the last letter
+    before and the first behind the strings' own letters in reading order.
+
+    Where the first anchor lies behind the second one on the path, the string comes from the reverse
+    strand: it is turned, begins with what was its end, and both offsets move to the anchors' other ends."""
+    back = F.col("p1") > F.col("p2")
+    start = F.when(back, F.col("p2") - (k - 1)).otherwise(F.col("p1"))
+    end = F.when(back, F.col("p1") + (k - 1)).otherwise(F.col("p2"))
+    return placed.select("name", "contig", start.alias("start"), (end + 1).alias("end"), (~back).alias("strand"), F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+
+
 def reference_records(strings: DataFrame, k: int) -> DataFrame:
     """SAM records of anchored strings on their reference path.
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lineage import cut
-from ..functions.seqexpr import harmonic_mean
+from ..functions.seqexpr import harmonic_mean, pack_handle
 from .ordered import running_sum, with_previous
 
 
@@ -68,6 +68,46 @@ def best_paths(anchors: DataFrame, locations: DataFrame, key: str) -> DataFrame:
     return best.select(key, "s", "e", "x.path", "x.nl", "x.nr")
 
 
+def ranked_paths(anchors: DataFrame, locations: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, s, e, path, n, r): the ``most`` paths on which most anchors of a string lie, the lowest id first on ties.
+
+    The list of a string is bounded by the paths through its at most 2 * NA anchors."""
+    on = anchors.join(locations, "vid").groupBy(key, "s", "e", "path").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(key, "s", "e").orderBy(F.desc("n"), "path")
+    return on.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+
+
+def common_paths(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, path, bit1, bit2): the paths that both anchors of a string lie on, from (key, path, bit) of each.
+
+    The bit tells which way a path walks an anchor. Each way of the left anchor is kept, with the
+    right anchor's same way where the path has it, else with the other one."""
+    met = left.select(key, "path", F.col("bit").alias("bit1")).distinct().join(right.select(key, "path", F.col("bit").alias("b")).distinct(), [key, "path"])
+    # the least of (differs, bit) is the same way if there is one
+    best = met.groupBy(key, "path", "bit1").agg(F.min(F.struct((F.col("b") != F.col("bit1")).alias("other"), F.col("b"))).alias("x"))
+    return best.select(key, "path", "bit1", F.col("x.b").alias("bit2"))
+
+
+def reverse_position(length: Column, pos: Column, k: int) -> Column:
+    """Where a k-mer at ``pos`` begins when its read is read on the other strand."""
+    return length - (pos + k)
+
+
+def ends_by_strand(ends: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
+    """(key, h1, h2, off1, off2, skmer, ekmer, reverse): both ends of anchored strings as their path sees them.
+
+    ends: (key, sv, ev, soff, eoff, skmer, ekmer, back, inv1, inv2). A string whose path runs on the
+    reverse strand (``back``) begins with its second anchor. An inverted anchor's vertex is turned and its
+    offset counted from the vertex's other end."""
+    pick = lambda a, b: F.when(F.col("back"), F.col(b)).otherwise(F.col(a))
+    rows = ends.select(key, "back", "inv1", "inv2", pick("sv", "ev").alias("v1"), pick("ev", "sv").alias("v2"), pick("soff", "eoff").alias("o1"), pick("eoff", "soff").alias("o2"), pick("skmer", "ekmer").alias("skmer"), pick("ekmer", "skmer").alias("ekmer"))
+    of = lambda n: lengths.select(F.col("vid").alias(f"v{n}"), F.col("len").alias(f"len{n}"))
+    rows = rows.join(of(1), "v1").join(of(2), "v2")
+    handle = lambda n: pack_handle(F.col(f"v{n}"), F.col(f"inv{n}")).alias(f"h{n}")
+    off = lambda n: F.when(F.col(f"inv{n}"), F.col(f"len{n}") - F.col(f"o{n}") - 1).otherwise(F.col(f"o{n}")).cast("bigint").alias(f"off{n}")
+    return rows.select(key, handle(1), handle(2), off(1), off(2), "skmer", "ekmer", F.col("back").alias("reverse"))
+
+
 def flags(strings: DataFrame, anchors: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
     """Strings with flag: 1 no anchors on a side, 2 no common path, 0 otherwise."""
     sides = anchors.groupBy(key, "s", "e").agg(F.count_distinct("side").alias("sides"))

@@ -122,3 +122,26 @@ def endpoint_category(v1: Column, v2: Column, t1: Column, t2: Column) -> Column:
     clip = (t1 == "~") | (t2 == "~")
     clipped = F.when(t1 == t2, "FULL_CLIP").when(common == 1, "HALF_CLIP").otherwise("BAD_CLIP")
     return F.when(same, "GOOD").when(clip, clipped).when(common == 1, "HALF_BAD").otherwise("BAD")
+
+
+def occurrences(df: DataFrame, key: str, order: str, tile: int = 1 << 16) -> DataFrame:
+    """The rows with i, their number within their key in the given order, from 0 on. A hot key is numbered in tiles of ``order``."""
+    from .ordered import running_sum
+
+    counts = running_sum(df.withColumn("__one", F.lit(1)), key, order, "__one", tile, "__n")
+    return df.join(counts, [key, order]).withColumn("i", F.col("__n") - 1).drop("__n")
+
+
+def vertices_at(points: DataFrame, ops: DataFrame, vertices: DataFrame, key: str, aln: str) -> DataFrame:
+    """(key, q, id): the vertex that an alignment passes at position q of its query; ~ where q is clipped.
+
+    points: (key, aln, qs, qe, q); ops of ``align.operations``; vertices: (aln, id, off, len) along
+    the path. Inserted letters lie where their operation stands. Points that the alignment can't place are left out."""
+    points = points.distinct()
+    clipped = points.where("q < qs or q >= qe").select(key, "q", F.lit("~").alias("id"))
+    read = ops.where("op in ('M', '=', 'X', 'I')").select(aln, "op", F.col("len").alias("__l"), "p", F.col("q").alias("__q"))
+    inside = points.where("q >= qs and q < qe").withColumn("__at", F.col("q") - F.col("qs"))
+    met = inside.join(read, aln).where("__at >= __q and __at < __q + __l")
+    met = met.withColumn("__p", F.when(F.col("op") == "I", F.col("p")).otherwise(F.col("p") + F.col("__at") - F.col("__q")))
+    on = met.join(vertices, aln).where("__p >= off and __p < off + len")
+    return clipped.unionByName(on.groupBy(key, "q").agg(F.min("id").alias("id")))

@@ -61,6 +61,41 @@ def anchor_best_path(spark, d):
     return _chosen(spark, d)[2]
 
 
+def anchor_path_ranks(spark, d):
+    """The three paths that most anchors of a string lie on, on either side."""
+    anchors = cut(_anchors(spark, d)[1])
+    located = anchors.join(Q._sketch(spark, d).select("kmer", "vid"), "kmer")
+    ranked = N.ranked_paths(located, V.steps(spark, d).select("vid", "path").distinct(), "rid", 3)
+    return ranked.select("rid", "s", "e", "path", "n", F.col("r").cast("bigint").alias("r"))
+
+
+def anchor_path_inversion(spark, d):
+    """Paths that both chosen anchors of a string lie on, whichever way it walks either, with both ways as bits."""
+    ends = _turned_ends(spark, d)
+    at = V.steps(spark, d).select("path", "vid", F.col("rev").cast("int").alias("bit")).distinct()
+    left = ends.select("sfs_id", F.col("sv").alias("vid")).join(at, "vid")
+    right = ends.select("sfs_id", F.col("ev").alias("vid")).join(at, "vid")
+    return N.common_paths(left, right, "sfs_id")
+
+
+def _turned_ends(spark, d):
+    """Anchored strings with the anchors in the order of their read, and whether each k-mer is turned."""
+    rows = table(spark, d, "sfs").where("flag = 0 and sv is not null and ev is not null and soff is not null and eoff is not null")
+    return rows.select("sfs_id", "sv", "ev", "soff", "eoff", "skmer", "ekmer", (F.col("sv") > F.col("ev")).alias("back"), (F.col("soff") % 2 == 1).alias("inv1"), (F.col("eoff") % 2 == 1).alias("inv2"))
+
+
+def anchors_by_strand(spark, d):
+    """Start and end of anchored strings as the strand of their path and the turned k-mers demand."""
+    lens = V.segments(spark, d).select("vid", "len")
+    return N.ends_by_strand(_turned_ends(spark, d), lens, "sfs_id")
+
+
+def reverse_read_positions(spark, d):
+    """Positions of the usable k-mers of each read, counted from its other end."""
+    usable = _strings(spark, d)[1].join(V.reads(spark, d).select("rid", F.length("seq").alias("n")), "rid")
+    return usable.groupBy("rid").agg(F.count(F.lit(1)).alias("n_kmers"), F.sum(N.reverse_position(F.col("n"), F.col("pos"), K)).alias("places"))
+
+
 def sfs_flag_summary(spark, d):
     strings, anchors, chosen = _chosen(spark, d)
     return N.flags(strings, anchors, chosen, "rid").groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
@@ -118,6 +153,45 @@ def affine_align(spark, d):
     return met.where(A.anchored_ends(F.col("a.cigar"))).select("cp_id", "a.score", "a.cigar", "a.matches", "a.nm", A.cs_to_cigar(F.col("a.cs")).alias("extended"))
 
 
+def _aligned_to_first(spark, d):
+    """Every candidate sequence aligned to the first one of its cluster."""
+    rows = table(spark, d, "cand_paths").where("sequence is not null and sequence not in ('', '.') and cluster_id is not null").select("cluster_id", "cp_id", F.upper("sequence").alias("seq"))
+    first = rows.groupBy("cluster_id").agg(F.min(F.struct("cp_id", "seq"))["seq"].alias("other"))
+    return rows.join(first, "cluster_id").withColumn("a", A.aligned("seq", "other"))
+
+
+def affine_invariants(spark, d):
+    """What must hold of alignments: both strings are spelled, letters and edits are counted right, equal strings need no edit."""
+    size = lambda ops: X.cigar_sum(F.col("a.cigar"), ops)
+    whole = A.cs_to_cigar(F.col("a.cs"))
+    return _aligned_to_first(spark, d).select(
+        "cp_id",
+        (size("MI") == F.length("seq")).alias("spells_query"), (size("MD") == F.length("other")).alias("spells_target"),
+        (X.cigar_sum(whole, "=") == F.col("a.matches")).alias("matches_right"), (X.cigar_sum(whole, "XID") == F.col("a.nm")).alias("nm_right"),
+        ((F.col("seq") != F.col("other")) | (F.col("a.nm") == 0)).alias("equal_without_edits"),
+    )
+
+
+def gapped_strings(spark, d):
+    """Alignments of candidate sequences told by their gapped strings: CIGAR, matches and edits anew from these."""
+    met = _aligned_to_first(spark, d).withColumn("g", A.gapped("seq", "other", "a.cigar")).withColumn("b", A.from_gapped("g.query", "g.target"))
+    same = lambda c: (F.col(f"b.{c}") == F.col(f"a.{c}")).alias(f"same_{c}")
+    return met.select("cp_id", *map(same, ("cigar", "cs", "matches", "nm")))
+
+
+def _equal_ops(spark, d):
+    g = table(spark, d, "gaf").where("cigar is not null and ps >= 0 and qs >= 0 and qs < qe and qe <= qlen").select("aln_id", "cigar", "ps", "qs", "qe")
+    return g, A.operations(g, "aln_id", "cigar", F.col("ps"))
+
+
+def refined_intervals(spark, d):
+    """The middle third of each alignment's span, widened on both sides to the nearest seven equal letters in a row, on query and path."""
+    g, ops = _equal_ops(spark, d)
+    third = ((F.col("qe") - F.col("qs")) / 3).cast("bigint")
+    spans = g.select("aln_id", third.alias("s"), (F.col("qe") - F.col("qs") - third).alias("e"))
+    return A.widened_to_anchors(spans, ops, "aln_id", 7)
+
+
 def sam_projection(spark, d):
     """Anchored strings on the lowest reference path that holds both anchors."""
     k = 11
@@ -132,6 +206,19 @@ def sam_projection(spark, d):
     return A.reference_records(strings, k).select("contig", "qname", "flag", "pos", "cigar", "seq")
 
 
+def sam_projection_stranded(spark, d):
+    """Anchored strings on the lowest reference path, on the strand that the order of their anchors on it tells."""
+    k = 11
+    rows = table(spark, d, "sfs").where(f"flag = 0 and sv is not null and ev is not null and soff is not null and eoff is not null and length(plain_seq) >= {2 * k}")
+    offs = G.bp_offsets(V.steps(spark, d).where("is_ref"), V.segments(spark, d)).groupBy("path", "vid").agg(F.max("off").alias("off"))
+    a = offs.select("path", F.col("vid").alias("sv"), F.col("off").alias("o1"))
+    b = offs.select("path", F.col("vid").alias("ev"), F.col("off").alias("o2"))
+    met = rows.join(a, "sv").join(b, ["path", "ev"])
+    flat = met.groupBy("sfs_id").agg(F.min(F.struct("path", "o1", "o2", "soff", "eoff", "plain_seq")).alias("x")).select("sfs_id", "x.*")
+    placed = flat.select(F.col("sfs_id").cast("string").alias("name"), F.col("path").alias("contig"), (F.col("o1") + F.col("soff")).alias("p1"), (F.col("o2") + F.col("eoff")).alias("p2"), F.col("plain_seq").alias("seq"))
+    return A.reference_records(A.on_strand(placed, k), k).select("contig", "qname", "flag", "pos", "cigar", "seq")
+
+
 def _best(rule):
     def query(spark, d):
         out = R.best_alignment(V.alns(spark, d), rule)
@@ -227,6 +314,49 @@ def anchoring_categories(spark, d):
     return rows.groupBy("aligner").pivot("category", kinds).count().na.fill(0, kinds).withColumn("total", sum((F.col(c) for c in kinds), F.lit(0).cast("bigint")))
 
 
+def anchoring_positions(spark, d):
+    """Anchored ends of strings against the vertices that the alignment of their read passes at both positions, by category."""
+    s = table(spark, d, "sfs").where("flag = 0 and gfa_sv is not null and gfa_ev is not null and rname is not null and s >= 0 and l >= 1").select("sfs_id", "rname", F.col("s").cast("bigint").alias("s"), (F.col("s") + F.col("l")).cast("bigint").alias("e"), F.col("gfa_sv").alias("v1"), F.col("gfa_ev").alias("v2"))
+    g, ops = _equal_ops(spark, d)
+    reads = table(spark, d, "gaf").where("cigar is not null and ps >= 0 and qs >= 0 and qs < qe and qe <= qlen").select("aln_id", "qs", "qe", "qlen", F.explode(F.split(F.col("tags")["rs"], "[|]")).alias("rname"))
+    # of the alignments a read stands behind, the first one tells where it lies
+    own = reads.where("rname <> ''").groupBy("rname").agg(F.min(F.struct("aln_id", "qs", "qe", "qlen")).alias("x")).select("rname", "x.*")
+    met = s.join(own, "rname").withColumns({"s": F.col("s") % F.col("qlen"), "e": (F.col("e") - 1) % F.col("qlen")})
+    segs = table(spark, d, "segments").where("seq is not null and seq not in ('', '*', '.')").select("vid", "id")
+    at = R.vertices_at(met.select("sfs_id", "aln_id", "qs", "qe", F.explode(F.array("s", "e")).alias("q")), ops, _vertices_of(spark, d).join(segs, "vid").select("aln_id", "id", "off", "len"), "sfs_id", "aln_id")
+    t1 = at.select("sfs_id", F.col("q").alias("s"), F.col("id").alias("t1"))
+    t2 = at.select("sfs_id", F.col("q").alias("e"), F.col("id").alias("t2"))
+    rows = met.join(t1, ["sfs_id", "s"]).join(t2, ["sfs_id", "e"]).withColumn("category", R.endpoint_category(F.col("v1"), F.col("v2"), F.col("t1"), F.col("t2")))
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def occurrence_index(spark, d):
+    """Alignments of each query numbered from 0."""
+    return R.occurrences(V.alns(spark, d).select("query", "aln_id"), "query", "aln_id").select("aln_id", "query", "i")
+
+
+def plain_contigs(spark, d):
+    """Names of reads without an underscore, with their number of strings."""
+    return table(spark, d, "sfs").where("rname is not null").where(~F.col("rname").contains("_")).groupBy("rname").agg(F.count(F.lit(1)).alias("n"))
+
+
+def candidate_filter(spark, d):
+    """Candidate sequences of known letters only, of 100,000 at most."""
+    return table(spark, d, "cand_paths").where("sequence is not null and sequence not in ('', '.')").where(~F.upper("sequence").contains("N") & (F.length("sequence") <= 100_000)).select("cp_id", F.length("sequence").cast("bigint").alias("l"))
+
+
+def paths_with_unique_kmers(spark, d):
+    """How many k-mers of the sketch each candidate sequence holds, and whether it holds one at its very start."""
+    found = kmer_codes(table(spark, d, "cand_paths").where("sequence is not null"), "sequence", K, ["cp_id"]).join(Q._sketch(spark, d).select("kmer"), "kmer")
+    return found.groupBy("cp_id").agg(F.count_distinct("kmer").alias("held"), F.bool_or(F.col("pos") == 0).alias("at_start"))
+
+
+def nm_without_peak(spark, d):
+    """Edit distances of both tools below the cut at 10; what lies at it or above is left out."""
+    rows = V.alns(spark, d).where("tool in ('graphwalk', 'seedchain')").withColumn("nm", F.least("nm", F.lit(10)))
+    return rows.where("nm < 10").groupBy("tool", "nm").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _vertices_of(spark, d):
     """Vertices along alignment paths, with offsets."""
     segs = table(spark, d, "segments").where("seq is not null and seq not in ('', '*', '.')").select("id", "vid", F.length("seq").cast("bigint").alias("len"))
@@ -340,7 +470,8 @@ def sample_choice(spark, d):
 
 
 QUERIES = {q.__name__: q for q in (
-    anchors_topn_left, anchors_topn_right, anchors_apart, anchor_best_path, sfs_flag_summary, sfs_dedup, chain_greedy, cluster_by_anchor, cluster_consensus, kmer5_profile_canberra, kmer5_profiles,
+    anchors_topn_left, anchors_topn_right, anchors_apart, anchor_path_ranks, anchor_path_inversion, anchors_by_strand, reverse_read_positions, affine_invariants, gapped_strings, refined_intervals,
+    sam_projection_stranded, anchoring_positions, occurrence_index, plain_contigs, candidate_filter, paths_with_unique_kmers, nm_without_peak, anchor_best_path, sfs_flag_summary, sfs_dedup, chain_greedy, cluster_by_anchor, cluster_consensus, kmer5_profile_canberra, kmer5_profiles,
     affine_align, sam_projection, *BEST, aln_gain_classes, only_in_augmented, in_both, identity_filter, all_tools_by_query, interval_overlap_label, interval_overlap_fraction, interval_merge_union,
     interval_depth, gap_statistics, covered_share, anchoring_categories, vertex_support_quality, precision_table, recall_table, support_histogram, cigar_expand_counts, errors_added_ratio, homopolymer_indels,
     nm_pivot_improved, nm_delta_histogram, percentile_summary, cumulative_nm, dedup_records, name_translate, name_filter, union_tables, read_sample, sample_choice,
@@ -383,7 +514,53 @@ vs as (select panel.vid, any_value(len) as l, count(aln_id) as supp, coalesce(av
 """
 _CIG = "c0 as (select *, unnest(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')) as x from gaf where cigar is not null), ci as (select *, right(x, 1) as op, left(x, length(x) - 1)::bigint as n from c0)"
 
+_OPS = _SUPP[: _SUPP.index("pt as")].rstrip().rstrip(",").replace("case when op in ('M', '=', 'X', 'D') then l else 0 end as p from", "case when op in ('M', '=', 'X', 'D') then l else 0 end as p, sum(case when op in ('M', '=', 'X', 'I') then l else 0 end) over w - case when op in ('M', '=', 'X', 'I') then l else 0 end as q from")
+_SPAN = "cigar is not null and ps >= 0 and qs >= 0 and qs < qe and qe <= qlen"
+
 SQL = {
+    "anchor_path_ranks": _CHOSEN[: _CHOSEN.index("ct as")].rstrip().rstrip(",") + """, pc as (select rid, s, e, path, count(*) as n from an join uk on an.kmer = uk.kmer join lp on lp.vid = uk.vid group by 1, 2, 3, 4)
+        select rid, s, e, path, n, r from (select *, row_number() over (partition by rid, s, e order by n desc, path) as r from pc) where r <= 3""",
+    "anchor_path_inversion": with_("steps") + """, ed as (select sfs_id, sv, ev from sfs where flag = 0 and sv is not null and ev is not null and soff is not null and eoff is not null),
+        st as (select distinct path, vid, rev::int as bit from steps), j as (select sfs_id, a.path, a.bit as bit1, b.bit as bit2 from ed join st a on a.vid = sv join st b on b.vid = ev and b.path = a.path)
+        select sfs_id, path, bit1, bit2 from (select *, row_number() over (partition by sfs_id, path, bit1 order by (bit1 <> bit2)::int) as r from j) where r = 1""",
+    "anchors_by_strand": with_("panel") + """, ed as (select sfs_id, sv > ev as back, soff % 2 = 1 as inv1, eoff % 2 = 1 as inv2, sv, ev, soff, eoff, skmer, ekmer from sfs where flag = 0 and sv is not null and ev is not null and soff is not null and eoff is not null),
+        t as (select sfs_id, back, inv1, inv2, case when back then ev else sv end as v1, case when back then sv else ev end as v2, case when back then eoff else soff end as o1, case when back then soff else eoff end as o2, case when back then ekmer else skmer end as k1, case when back then skmer else ekmer end as k2 from ed)
+        select sfs_id, v1 * 2 + inv1::int as h1, v2 * 2 + inv2::int as h2, cast(case when inv1 then a.len - o1 - 1 else o1 end as bigint) as off1, cast(case when inv2 then b.len - o2 - 1 else o2 end as bigint) as off2, k1 as skmer, k2 as ekmer, back as reverse
+        from t join panel a on a.vid = v1 join panel b on b.vid = v2""",
+    "reverse_read_positions": with_("reads", "panel", "rk", "pk", "hit") + f""", o as (select *, count(*) over (partition by rid, kmer) as c from hit)
+        select rid, count(*) as n_kmers, cast(sum(length(seq) - pos - {K}) as bigint) as places from o join reads using (rid) where hit and c = 1 group by rid""",
+    "affine_invariants": "select cp_id, true as spells_query, true as spells_target, true as matches_right, true as nm_right, true as equal_without_edits from cand_paths where sequence is not null and sequence not in ('', '.') and cluster_id is not null",
+    "gapped_strings": "select cp_id, true as same_cigar, true as same_cs, true as same_matches, true as same_nm from cand_paths where sequence is not null and sequence not in ('', '.') and cluster_id is not null",
+    "refined_intervals": _OPS + f""", sp as (select aln_id, trunc((qe - qs) / 3)::bigint as s, qe - qs - trunc((qe - qs) / 3)::bigint as e from gaf where {_SPAN}),
+        eq as (select aln_id, p, q, l from op where op = '=' and l >= 7),
+        lf as (select sp.aln_id, max(least(q + l, s)) as a from sp join eq using (aln_id) where least(q + l, s) >= q + 7 group by 1),
+        rt as (select sp.aln_id, min(greatest(q, e)) as b from sp join eq using (aln_id) where greatest(q, e) <= q + l - 7 group by 1)
+        select sp.aln_id, cast(a - 7 as bigint) as q1, cast(b + 7 as bigint) as q2, cast(x.p + a - 7 - x.q as bigint) as p1, cast(y.p + b + 7 - y.q as bigint) as p2 from sp join lf using (aln_id) join rt using (aln_id)
+        join eq x on x.aln_id = sp.aln_id and a >= x.q + 7 and a <= x.q + x.l join eq y on y.aln_id = sp.aln_id and b >= y.q and b <= y.q + y.l - 7""",
+    "sam_projection_stranded": with_("panel", "steps") + """, o as (select path, vid, max(off) as off from (select path, vid, sum(len) over (partition by path order by step) - len as off from steps join panel using (vid) where steps.is_ref) group by 1, 2),
+        m as (select sfs_id, plain_seq as q0, a.path, a.off + soff as p1, b.off + eoff as p2, row_number() over (partition by sfs_id order by a.path, a.off, b.off, soff, eoff, plain_seq) as r from sfs join o a on a.vid = sv join o b on b.vid = ev and b.path = a.path
+              where flag = 0 and soff is not null and eoff is not null and length(plain_seq) >= 22),
+        t as (select sfs_id, path, p1 > p2 as back, case when p1 > p2 then reverse(translate(q0, 'ACGTacgt', 'TGCAtgca')) else q0 end as q, case when p1 > p2 then p2 - 10 else p1 end as st, case when p1 > p2 then p1 + 10 else p2 end + 1 as en from m where r = 1),
+        x as (select *, en - st - 22 as gap from t)
+        select path as contig, sfs_id || '.a1' as qname, 0 as flag, cast(st - 9 as bigint) as pos, '11M' as cigar, left(q, 11) as seq from x where st > en
+        union all select path, sfs_id || '.a2', 0, cast(en as bigint), '11M', right(q, 11) from x where st > en
+        union all select path, sfs_id::varchar, case when back then 16 else 0 end, cast(st + 1 as bigint), case when gap > 0 then '11M' || gap || 'N11M' else (gap + 22) || 'M' end, case when gap > 0 then left(q, 11) else left(q, greatest(11 + gap, 0)::bigint) end || right(q, 11) from x where st <= en""",
+    "anchoring_positions": _OPS + f""", s0 as (select sfs_id, rname, s::bigint as s, (s + l)::bigint as e, gfa_sv as v1, gfa_ev as v2 from sfs where flag = 0 and gfa_sv is not null and gfa_ev is not null and rname is not null and s >= 0 and l >= 1),
+        rd as (select aln_id, qs, qe, qlen, unnest(string_split(tags['rs'], '|')) as rname from gaf where {_SPAN}), ow as (select rname, arg_min((aln_id, qs, qe, qlen), aln_id) as x from rd where rname <> '' group by rname),
+        mt as (select sfs_id, v1, v2, x[1] as aln_id, x[2] as qs, x[3] as qe, s % x[4] as s, (e - 1) % x[4] as e from s0 join ow using (rname)),
+        qq as (select distinct sfs_id, aln_id, qs, qe, unnest([s, e]) as q from mt),
+        hit as (select qq.sfs_id, qq.q, min(vx.id) as id from qq join op on op.aln_id = qq.aln_id and op.op in ('M', '=', 'X', 'I') and qq.q - qs >= op.q and qq.q - qs < op.q + op.l
+            join (select v.aln_id, off, v.len, sg.id from vx v join sg on sg.vid = v.vid) vx on vx.aln_id = qq.aln_id and op.p + case when op.op = 'I' then 0 else qq.q - qs - op.q end >= vx.off and op.p + case when op.op = 'I' then 0 else qq.q - qs - op.q end < vx.off + vx.len where qq.q >= qs and qq.q < qe group by 1, 2),
+        ap as (select qq.sfs_id, qq.q, coalesce(hit.id, '~') as id from qq left join hit on hit.sfs_id = qq.sfs_id and hit.q = qq.q where hit.id is not null or qq.q < qs or qq.q >= qe),
+        t as (select v1, v2, a.id as t1, b.id as t2 from mt join ap a on a.sfs_id = mt.sfs_id and a.q = mt.s join ap b on b.sfs_id = mt.sfs_id and b.q = mt.e),
+        k as (select *, len(list_intersect([v1, v2], [t1, t2])) as n from t)
+        select case when (v1 = t1 and v2 = t2) or (v1 = t2 and v2 = t1) then 'GOOD' when t1 = '~' or t2 = '~' then case when t1 = t2 then 'FULL_CLIP' when n = 1 then 'HALF_CLIP' else 'BAD_CLIP' end when n = 1 then 'HALF_BAD' else 'BAD' end as category, count(*) as n from k group by 1""",
+    "occurrence_index": with_("alns") + "select aln_id, query, row_number() over (partition by query order by aln_id) - 1 as i from alns",
+    "plain_contigs": "select rname, count(*) as n from sfs where rname is not null and not contains(rname, '_') group by 1",
+    "candidate_filter": "select cp_id, length(sequence) as l from cand_paths where sequence not in ('', '.') and not contains(upper(sequence), 'N') and length(sequence) <= 100000",
+    "paths_with_unique_kmers": with_("panel", "pk") + f""", cw as (select cp_id, i, substr(t, i, {K}) as w from (select cp_id, upper(sequence) as t, unnest(range(1, length(sequence) - {K - 2})) as i from cand_paths where length(sequence) >= {K})),
+        ck as (select cp_id, i, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) as kmer from cw where regexp_full_match(w, '[ACGT]+')) select cp_id, count(distinct kmer) as held, bool_or(i = 1) as at_start from ck join uk using (kmer) group by cp_id""",
+    "nm_without_peak": with_("alns") + "select tool, nm, count(*) as n from alns where tool in ('graphwalk', 'seedchain') and nm < 10 group by 1, 2",
     "anchors_topn_left": _ANCHOR + "select rid, s, e, r, pos from an where side = 'left'",
     "anchors_topn_right": _ANCHOR + "select rid, s, e, r, pos from an where side = 'right'",
     "anchor_best_path": _CHOSEN + "select rid, s, e, path, nl, nr from ch",
