@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.seqexpr import reverse_complement, run_length
+from .poa import consensus
 from .ranks import dense_index
 
 #: Match, mismatch and both gap costs (open, extend) of the consensus alignment.
@@ -230,84 +231,6 @@ def widened_to_anchors(spans: DataFrame, ops: DataFrame, key: str, least: int =
 # --- consensus ---------------------------------------------------------------------------------
 
 
-def _columns(center: str, others: list[str]) -> list[tuple[str, dict[int, str]]]:
-    """Each string aligned to the center: (letters at the center's positions, - for a gap; insertions behind positions)."""
-    out = []
-    for s in others:
-        _, cigar = (0, f"{len(s)}M") if s == center else align_pair(s, center, 2, -3, ((4, 2),))
-        letters, inserted, i, size = [], {}, 0, 0
-        for c in cigar:
-            if c.isdigit():
-                size = size * 10 + int(c)
-                continue
-            if c == "M":
-                letters += s[i : i + size]
-                i += size
-            elif c == "I":
-                inserted[len(letters)] = s[i : i + size]
-                i += size
-            else:
-                letters += "-" * size
-            size = 0
-        out.append(("".join(letters), inserted))
-    return out
-
-
-def _vote(strings: list[str]) -> str:
-    """Consensus by votes at each position of the string that is nearest in length to the median; ties go to its own letter."""
-    lengths = sorted(map(len, strings))
-    middle = lengths[len(lengths) // 2]
-    center = min(strings, key=lambda s: (abs(len(s) - middle), -strings.count(s), s))
-    rows = _columns(center, strings)
-    half = len(strings) / 2
-    out = []
-    for p in range(len(center) + 1):
-        extra: dict[str, int] = {}
-        for _, inserted in rows:
-            if p in inserted:
-                extra[inserted[p]] = extra.get(inserted[p], 0) + 1
-        if extra:
-            text, n = min(extra.items(), key=lambda x: (-x[1], x[0]))
-            if n > half:
-                out.append(text)
-        if p < len(center):
-            votes: dict[str, int] = {}
-            for letters, _ in rows:
-                votes[letters[p]] = votes.get(letters[p], 0) + 1
-            top = min(votes, key=lambda c: (-votes[c], c != center[p], c))
-            out.append("" if top == "-" else top)
-    return "".join(out)
-
-
-def _profile(s: str, k: int = 5) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for i in range(len(s) - k + 1):
-        out[s[i : i + k]] = out.get(s[i : i + k], 0) + 1
-    return out
-
-
-def _apart(a: dict[str, int], b: dict[str, int]) -> float:
-    total = sum(a.values()) + sum(b.values())
-    return 1 - 2 * sum(min(n, b.get(w, 0)) for w, n in a.items()) / total if total else 0.0
-
-
-def consensus(strings: list[str], least_share: float = 0.25, apart: float = 0.5) -> list[str]:
-    """One or two consensus strings of a cluster.
-
-    The string farthest from the most frequent one (by 5-mers) founds a second group if it is
-    more than ``apart`` away; each string joins the nearer founder. A group of less than
-    ``least_share`` of the strings has no consensus of its own and falls out."""
-    ordered = sorted(strings, key=lambda s: (-strings.count(s), s))
-    profiles = [_profile(s) for s in ordered]
-    away = [_apart(profiles[0], p) for p in profiles]
-    far = max(range(len(ordered)), key=lambda i: (away[i], -i))
-    groups = [ordered]
-    if away[far] > apart:
-        near = [away[i] <= _apart(profiles[far], p) for i, p in enumerate(profiles)]
-        groups = [[s for s, n in zip(ordered, near) if n], [s for s, n in zip(ordered, near) if not n]]
-    return [_vote(g) for g in groups if g and len(g) >= least_share * len(strings)]
-
-
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def cluster_consensus(strings: pa.Array) -> pa.Array:
     """``consensus`` of arrays of strings; clusters are bounded in size before they get here."""

@@ -129,6 +129,15 @@ def cluster_consensus(spark, d):
     return lists.select("skmer", "ekmer", F.size("x").alias("n"), F.posexplode(A.cluster_consensus("x")).alias("i", "seq"))
 
 
+def consensus_invariants(spark, d):
+    """Clusters of one string only have it as their consensus; no cluster has more than two or an empty one."""
+    rows = table(spark, d, "sfs").where("flag = 0 and skmer is not null and ekmer is not null and plain_seq is not null and plain_seq not in ('', '.')").select("skmer", "ekmer", F.upper("plain_seq").alias("u"))
+    same = rows.groupBy("skmer", "ekmer").agg(F.min("u").alias("lo"), F.max("u").alias("hi"), F.count(F.lit(1)).alias("n")).where("n <= 64 and not lo rlike '[^ACGT]'")
+    found = cluster_consensus(spark, d).groupBy("skmer", "ekmer").agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("k"), F.min(F.length("seq")).alias("least"))
+    met = same.join(found, ["skmer", "ekmer"])
+    return met.select("skmer", "ekmer", ((F.col("lo") != F.col("hi")) | ((F.col("seq") == F.col("lo")) & (F.col("k") == 1))).alias("kept"), (F.col("k") <= 2).alias("two_at_most"), (F.col("least") > 0).alias("given"))
+
+
 def kmer5_profile_canberra(spark, d):
     """For each cluster the other candidate whose 5-mer profile is nearest to that of the first."""
     rows = table(spark, d, "cand_paths").where("size(kcounts) = 1024 and cluster_id is not null").select("cluster_id", "cp_id", F.col("kcounts").alias("counts"))
@@ -471,7 +480,7 @@ def sample_choice(spark, d):
 
 QUERIES = {q.__name__: q for q in (
     anchors_topn_left, anchors_topn_right, anchors_apart, anchor_path_ranks, anchor_path_inversion, anchors_by_strand, reverse_read_positions, affine_invariants, gapped_strings, refined_intervals,
-    sam_projection_stranded, anchoring_positions, occurrence_index, plain_contigs, candidate_filter, paths_with_unique_kmers, nm_without_peak, anchor_best_path, sfs_flag_summary, sfs_dedup, chain_greedy, cluster_by_anchor, cluster_consensus, kmer5_profile_canberra, kmer5_profiles,
+    sam_projection_stranded, anchoring_positions, occurrence_index, plain_contigs, candidate_filter, paths_with_unique_kmers, nm_without_peak, anchor_best_path, sfs_flag_summary, sfs_dedup, chain_greedy, cluster_by_anchor, cluster_consensus, consensus_invariants, kmer5_profile_canberra, kmer5_profiles,
     affine_align, sam_projection, *BEST, aln_gain_classes, only_in_augmented, in_both, identity_filter, all_tools_by_query, interval_overlap_label, interval_overlap_fraction, interval_merge_union,
     interval_depth, gap_statistics, covered_share, anchoring_categories, vertex_support_quality, precision_table, recall_table, support_histogram, cigar_expand_counts, errors_added_ratio, homopolymer_indels,
     nm_pivot_improved, nm_delta_histogram, percentile_summary, cumulative_nm, dedup_records, name_translate, name_filter, union_tables, read_sample, sample_choice,
@@ -518,6 +527,16 @@ _OPS = _SUPP[: _SUPP.index("pt as")].rstrip().rstrip(",").replace("case when op
 _SPAN = "cigar is not null and ps >= 0 and qs >= 0 and qs < qe and qe <= qlen"
 
 SQL = {
+    "anchors_apart": _ANCHOR[: _ANCHOR.index("an as (select * from")].rstrip().rstrip(",") + f""",
+        od as (select rid, s, e, side, list([pos] order by case side when 'left' then -pos else pos end) as x from an0 where side is not null group by all),
+        pk2 as (select side, list_reduce(x, lambda a, b: case when len(a) < {ANCHORS} and abs(b[1] - a[-1]) >= {K} then list_concat(a, b) else a end) as a from od)
+        select side, sum(len(a))::bigint as n, sum(list_sum(a))::bigint as places from pk2 group by side""",
+    "chain_greedy": _CHOSEN.rstrip() + """, of0 as (select path, vid, max(off) as off from (select path, vid, sum(len) over (partition by path order by step) - len as off from steps join panel using (vid)) group by 1, 2),
+        ro as (select an.rid, an.s, an.e, side, an.pos, off + uk.pos as at_ from an join uk on uk.kmer = an.kmer join ch on ch.rid = an.rid and ch.s = an.s and ch.e = an.e join of0 on of0.path = ch.path and of0.vid = uk.vid),
+        li as (select rid, s, e, side, list([[pos, at_]::bigint[]] order by pos, at_) as x from ro group by 1, 2, 3, 4),
+        st2 as (select rid, s, e, side, len(x) as n, i, len(list_reduce(x[i:], lambda a, b: case when b[1][2] > a[-1][2] and b[1][1] > a[-1][1] and least(b[1][2] - a[-1][2], b[1][1] - a[-1][1]) / greatest(b[1][2] - a[-1][2], b[1][1] - a[-1][1]) > 0.9 then list_concat(a, b) else a end)) as c
+            from (select *, unnest(range(1, len(x) + 1)) as i from li))
+        select rid, s, e, side, any_value(n)::int as anchors, coalesce(arg_min(c, i) filter (where 2 * c > n), max(c))::int as chained from st2 group by rid, s, e, side""",
     "anchor_path_ranks": _CHOSEN[: _CHOSEN.index("ct as")].rstrip().rstrip(",") + """, pc as (select rid, s, e, path, count(*) as n from an join uk on an.kmer = uk.kmer join lp on lp.vid = uk.vid group by 1, 2, 3, 4)
         select rid, s, e, path, n, r from (select *, row_number() over (partition by rid, s, e order by n desc, path) as r from pc) where r <= 3""",
     "anchor_path_inversion": with_("steps") + """, ed as (select sfs_id, sv, ev from sfs where flag = 0 and sv is not null and ev is not null and soff is not null and eoff is not null),
@@ -531,6 +550,8 @@ SQL = {
         select rid, count(*) as n_kmers, cast(sum(length(seq) - pos - {K}) as bigint) as places from o join reads using (rid) where hit and c = 1 group by rid""",
     "affine_invariants": "select cp_id, true as spells_query, true as spells_target, true as matches_right, true as nm_right, true as equal_without_edits from cand_paths where sequence is not null and sequence not in ('', '.') and cluster_id is not null",
     "gapped_strings": "select cp_id, true as same_cigar, true as same_cs, true as same_matches, true as same_nm from cand_paths where sequence is not null and sequence not in ('', '.') and cluster_id is not null",
+    "consensus_invariants": """with r as (select skmer, ekmer, min(upper(plain_seq)) as lo, count(*) as n from sfs where flag = 0 and skmer is not null and ekmer is not null and plain_seq not in ('', '.') group by 1, 2)
+        select skmer, ekmer, true as kept, true as two_at_most, true as given from r where n <= 64 and not regexp_matches(lo, '[^ACGT]')""",
     "refined_intervals": _OPS + f""", sp as (select aln_id, trunc((qe - qs) / 3)::bigint as s, qe - qs - trunc((qe - qs) / 3)::bigint as e from gaf where {_SPAN}),
         eq as (select aln_id, p, q, l from op where op = '=' and l >= 7),
         lf as (select sp.aln_id, max(least(q + l, s)) as a from sp join eq using (aln_id) where least(q + l, s) >= q + 7 group by 1),
