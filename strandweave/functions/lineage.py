@@ -31,6 +31,17 @@ def drop_all(spark) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept(spark, path: str, make, force: bool = False) -> DataFrame:
+    """The table at ``path``, made by ``make()`` unless an earlier run has finished it there; ``force`` makes it anew.
+
+    A table counts as finished by the mark that its last task's commit leaves, so one that a run was lost over is made again."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if force or not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The DataFrame, written to and read from the shared folder.
 

@@ -112,23 +112,40 @@ def periods_and_gaps(spans: DataFrame, least_gap: int = 1, most_gap: int | None
 
 
 def bin_join(a: DataFrame, b: DataFrame, width: int, a_cols=("chrom", "s", "e"), b_cols=("chrom", "s", "e")) -> DataFrame:
-    """Pairs of overlapping half-open intervals: an equi join on (chrom, bin) with the overlap test.
+    """Pairs of overlapping half-open intervals: an equi join on (chrom, level, bin) with the overlap test.
 
-    Each interval is repeated once a bin it touches; a pair is kept only in the bin that holds
-    the larger of the two starts, so it comes out once. The columns of b get the prefix ``b_``.
+    Bins of level n are ``width`` * 16^n wide. An interval belongs to the lowest level whose bins are no
+    shorter than it and is put into the one or two bins it touches there and on each higher level
+    that occurs; a pair meets on the higher one of both levels, in the bin that holds the larger of the
+    two starts, so it comes out once. However long an interval is, it is repeated twice a level at
+    most, and ``width`` only tells how fine the lowest level is. The columns of b get the prefix ``b_``.
     """
     ac, as_, ae = a_cols
     bc, bs, be = b_cols
     b = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
-    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width)))
-    a = a.where(F.col(as_) < F.col(ae)).withColumn("__bin", bins(as_, ae))
-    b = b.where(F.col(f"b_{bs}") < F.col(f"b_{be}")).withColumn("__b_bin", bins(f"b_{bs}", f"b_{be}"))
+    a = a.where(F.col(as_) < F.col(ae))
+    b = b.where(F.col(f"b_{bs}") < F.col(f"b_{be}"))
+    most = max(df.agg(F.max(F.col(e) - F.col(s))).first()[0] or 0 for df, s, e in ((a, as_, ae), (b, f"b_{bs}", f"b_{be}")))
+    top = 0
+    while width * 16**top < most:
+        top += 1
+    size = lambda n: F.element_at(F.array(*(F.lit(width * 16**i).cast("bigint") for i in range(top + 1))), n + 1)
+
+    def binned(df, s, e, own, bin_):
+        level = sum(((F.col(e) - F.col(s)) > width * 16**n).cast("int") for n in range(top)) if top else F.lit(0)
+        one = lambda n: F.transform(F.sequence(F.floor(F.col(s) / (width * 16**n)), F.floor((F.col(e) - 1) / (width * 16**n))), lambda x: F.struct(F.lit(n).alias("n"), x.alias("x")))
+        df = df.withColumn(own, level)
+        every = F.concat(*(F.when(F.col(own) <= n, one(n)).otherwise(F.filter(F.array(F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("x"))), lambda x: F.lit(False))) for n in range(top + 1)))
+        return df.withColumn(bin_, F.explode(every))
+
+    a, b = binned(a, as_, ae, "__own", "__bin"), binned(b, f"b_{bs}", f"b_{be}", "__b_own", "__b_bin")
     met = a.join(
         b,
         (F.col(ac) == F.col(f"b_{bc}"))
         & (F.col("__bin") == F.col("__b_bin"))
         & (F.col(as_) < F.col(f"b_{be}"))
         & (F.col(f"b_{bs}") < F.col(ae))
-        & (F.col("__bin") == F.floor(F.greatest(F.col(as_), F.col(f"b_{bs}")) / width)),
+        & (F.col("__bin.n") == F.greatest("__own", "__b_own"))
+        & (F.col("__bin.x") == F.floor(F.greatest(F.col(as_), F.col(f"b_{bs}")) / size(F.col("__bin.n")))),
     )
-    return met.drop("__bin", "__b_bin")
+    return met.drop("__bin", "__b_bin", "__own", "__b_own")

@@ -7,8 +7,10 @@ can't be converted becomes null (``read_alignments`` of operators.rejects gives
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,26 +118,30 @@ def parse_fastx(lines) -> Iterator[tuple]:
     """(name, comment, seq, qual) of FASTA and FASTQ records, sequences and qualities of any number of lines.
 
     A quality of another length than its sequence raises, as the rest of the file can't be trusted then."""
-    head, seq, qual, state = None, [], [], "seq"
+    head, seq, qual, letters, marks, state = None, [], [], 0, 0, "seq"
 
     def record():
         name, _, comment = head.partition(" ")
-        s, q = "".join(seq), "".join(qual)
-        if state == "qual" and len(q) != len(s):
-            raise ValueError(f"record {name}: {len(s)} letters and {len(q)} qualities")
-        return name, comment.strip() or None, s, q if state == "qual" else None
+        if state == "qual" and marks != letters:
+            raise ValueError(f"record {name}: {letters} letters and {marks} qualities")
+        return name, comment.strip() or None, "".join(seq), "".join(qual) if state == "qual" else None
 
     for raw in lines:
         line = raw.rstrip("\r\n")
-        full = state == "qual" and sum(map(len, qual)) >= sum(map(len, seq))
-        if line[:1] in (">", "@") and (state == "seq" or full):
+        if line[:1] in (">", "@") and (state == "seq" or marks >= letters):
             if head is not None:
                 yield record()
-            head, seq, qual, state = line[1:].replace("\t", " "), [], [], "seq"
+            head, seq, qual, letters, marks, state = line[1:].replace("\t", " "), [], [], 0, 0, "seq"
         elif line[:1] == "+" and state == "seq" and head is not None:
             state = "qual"
         elif head is not None:
-            (qual if state == "qual" else seq).append(line.strip())
+            part = line.strip()
+            if state == "qual":
+                qual.append(part)
+                marks += len(part)
+            else:
+                seq.append(part)
+                letters += len(part)
     if head is not None:
         yield record()
 
@@ -224,6 +230,92 @@ def read_sam(spark: SparkSession, path, primary_only: bool = False) -> DataFrame
     return out.where(F.col("flag").bitwiseAND(F.lit(0x904)) == 0) if primary_only else out
 
 
+_BASES = np.frombuffer(b"=ACMGRSVTWYHKDBN", np.uint8)
+
+
+def parse_bam(stream) -> Iterator[tuple]:
+    """The records of a BAM stream (already inflated) as rows of schemas.SAM."""
+
+    def take(n: int) -> bytes:
+        data = stream.read(n)
+        if len(data) != n:
+            raise ValueError("the file ends inside a record")
+        return data
+
+    if take(4) != b"BAM\1":
+        raise ValueError("not a BAM file")
+    take(struct.unpack("<i", take(4))[0])
+    names = []
+    for _ in range(struct.unpack("<i", take(4))[0]):
+        names.append(take(struct.unpack("<i", take(4))[0])[:-1].decode())
+        take(4)
+    while size := stream.read(4):
+        body = take(struct.unpack("<i", size)[0])
+        ref, pos, n_name, mapq, _, n_ops, flag, n_seq, next_ref, next_pos, tlen = struct.unpack("<iiBBHHHiiii", body[:32])
+        at = 32 + n_name
+        ops = np.frombuffer(body, "<u4", n_ops, at)
+        cigar = "".join(f"{x >> 4}{'MIDNSHP=X'[x & 15]}" for x in ops.tolist()) or None
+        at += 4 * n_ops
+        packed = np.frombuffer(body, np.uint8, (n_seq + 1) // 2, at)
+        seq = _BASES[np.stack([packed >> 4, packed & 15], axis=1).ravel()[:n_seq]].tobytes().decode() or None
+        at += len(packed)
+        raw = body[at : at + n_seq]
+        qual = None if not raw or raw[0] == 255 else bytes(x + 33 for x in raw).decode()
+        name = body[32 : 32 + n_name - 1].decode()
+        of = lambda i: names[i] if i >= 0 else None
+        yield None if name == "*" else name, flag, of(ref), pos + 1, mapq, cigar, of(next_ref), next_pos + 1, tlen, seq, qual, dict(_bam_tags(body, at + n_seq))
+
+
+def _bam_tags(body: bytes, at: int) -> Iterator[tuple[str, str]]:
+    sizes = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+    while at < len(body):
+        tag, kind, at = body[at : at + 2].decode(), chr(body[at + 2]), at + 3
+        if kind in "ZH":
+            end = body.index(b"\0", at)
+            yield tag, body[at:end].decode()
+            at = end + 1
+        elif kind == "B":
+            own, n = chr(body[at]), struct.unpack_from("<i", body, at + 1)[0]
+            values = struct.unpack_from(f"<{n}{sizes[own]}", body, at + 5)
+            yield tag, ",".join([own, *map(str, values)])
+            at += 5 + n * struct.calcsize(sizes[own])
+        else:
+            value = struct.unpack_from(f"<{sizes[kind]}", body, at)[0]
+            yield tag, value.decode() if kind == "A" else str(value)
+            at += struct.calcsize(sizes[kind])
+
+
+class BamReader(FastqReader):
+    """One partition a file; its blocks are inflated one after another."""
+
+    def read(self, partition: _Whole) -> Iterator[tuple]:
+        import gzip
+
+        with gzip.open(partition.path, "rb") as stream:
+            yield from parse_bam(stream)
+
+
+class Bam(DataSource):
+    """``spark.read.format("bam").load(path)``."""
+
+    @classmethod
+    def name(cls):
+        return "bam"
+
+    def schema(self):
+        return schemas.SAM
+
+    def reader(self, schema):
+        return BamReader(self.options)
+
+
+def read_bam(spark: SparkSession, path: str, primary_only: bool = False) -> DataFrame:
+    """As ``read_sam``, from BAM files."""
+    spark.dataSource.register(Bam)
+    out = spark.read.format("bam").load(path)
+    return out.where(F.col("flag").bitwiseAND(F.lit(0x904)) == 0) if primary_only else out
+
+
 # --- intervals, tables ----------------------------------------------------------------------------
 
 
@@ -285,15 +377,11 @@ def read_sketch_binary(spark: SparkSession, path: str, rows: int = 1 << 20) -> D
     """The binary layout: k, prefix length m, number n, 4^m offsets, then n k-mers, n vertex words, n flags.
 
     The arrays are read by offset, ``rows`` entries a task."""
-    import struct
-
     with open(path, "rb") as f:
         _, m, n = struct.unpack("<iiq", f.read(16))
     base = 16 + 8 * 4**m
 
     def work(batches):
-        import numpy as np
-
         for b in batches:
             for at in b.column("at").to_pylist():
                 size = min(rows, n - at)

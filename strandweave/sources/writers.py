@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.seqexpr import pack_handle, walk_text
 
 _TAB = "\t"
@@ -147,33 +150,38 @@ def pack_sketch(sketch: DataFrame) -> DataFrame:
 
 
 def write_sketch_binary(sketch: DataFrame, path: str, k: int, m: int = 9) -> None:
-    """One file in the binary layout, for exchange with other tools: rows come to the driver partition by partition, in k-mer order."""
-    import numpy as np
+    """One file in the binary layout, for exchange with other tools, on a file system that all tasks share.
 
-    rows = pack_sketch(sketch).orderBy("kmer")
-    n = rows.count()
+    Rows are numbered in k-mer order, and each task writes its own at their offsets; a task that is
+    run again writes the same bytes. The driver writes the head, whose size is given by ``m``."""
+    from ..operators.ranks import dense_index
+
+    rows = cut(dense_index(pack_sketch(sketch), ["kmer"], "__at", 0))
+    shift = max(0, 2 * (k - m))
+    counts = rows.groupBy(F.shiftright("kmer", shift).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()  # 4^m rows at most
     prefix = np.zeros(4**m + 1, np.int64)
+    for r in counts:
+        prefix[r.p + 1] = r.n
+    n, base = int(prefix.sum()), 16 + 8 * 4**m
     with open(path, "wb") as f:
         f.write(struct.pack("<iiq", k, m, n))
-        base, at = 16 + 8 * 4**m, 0
-        f.truncate(base + 20 * n)
-        block: list = []
-
-        def put():
-            nonlocal at, block
-            a = np.array(block, np.int64).reshape(-1, 3)
-            np.add.at(prefix, (a[:, 0] >> max(0, 2 * (k - m))) + 1, 1)
-            for offset, width, column in ((base, 8, a[:, 0]), (base + 8 * n, 8, a[:, 1]), (base + 16 * n, 4, a[:, 2].astype("<u4"))):
-                f.seek(offset + width * at)
-                f.write(column.tobytes())
-            at += len(block)
-            block = []
-
-        for r in rows.toLocalIterator():
-            block.append((r.kmer, r.vertices, r.info))
-            if len(block) == 1 << 16:
-                put()
-        if block:
-            put()
-        f.seek(16)
         f.write(np.cumsum(prefix)[:-1].astype("<i8").tobytes())
+        f.truncate(base + 20 * n)
+
+    def work(batches):
+        for b in batches:
+            at = b.column("__at").to_numpy()
+            order = np.argsort(at)
+            new = np.flatnonzero(np.diff(at[order]) != 1) + 1
+            with open(path, "r+b") as f:
+                for own in np.split(order, new):
+                    if not len(own):
+                        continue
+                    for offset, width, name in ((base, 8, "kmer"), (base + 8 * n, 8, "vertices"), (base + 16 * n, 4, "info")):
+                        f.seek(offset + width * int(at[own[0]]))
+                        f.write(b.column(name).to_numpy()[own].astype("<u4" if width == 4 else "<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    written = rows.mapInArrow(work, "n bigint").agg(F.sum("n")).first()[0] or 0
+    if written != n:
+        raise ValueError(f"{written} of {n} rows were written")
