@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,12 +11,13 @@ from pyspark.sql import DataFrame
 
 
 def folder(spark) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the session names none and runs on one machine, as in tests, one is made."""
+    """The folder of ``spark.checkpoint.dir``; where the session names none and runs on one machine, as in tests, one is made and removed when Python ends."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir isn't set")
         named = tempfile.mkdtemp(prefix="strandweave-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 

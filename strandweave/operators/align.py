@@ -41,13 +41,17 @@ def nearest_profile(targets: DataFrame, candidates: DataFrame, group: str, key:
 # --- alignment ---------------------------------------------------------------------------------
 
 
-def align_pair(query: str, target: str, match: int = MATCH, mismatch: int = MISMATCH, gaps=GAPS) -> tuple[int, str]:
+def align_pair(query: str, target: str, match: int = MATCH, mismatch: int = MISMATCH, gaps=GAPS, band: int = 32) -> tuple[int, str]:
     """(score, CIGAR) of the best global alignment with the cheaper of several affine gap costs.
 
     A gap of n letters costs open + n * extend of the cheapest pair; N scores 0 against anything.
-    CIGAR operations are M, I (in the query only) and D. Rows of the table are computed at once:
-    gaps along a row come from a running maximum. Of equal ways a match is preferred, then a
+    CIGAR operations are M, I (in the query only) and D. Of equal ways a match is preferred, then a
     deletion, then an insertion.
+
+    Only a band around the diagonals of both ends is worked out. A way that leaves it has more letters in gaps
+    than the band is wide; as long as the best score found doesn't beat all that such a way could
+    reach, the band is doubled. So the result is that of the whole table, and similar strings take
+    room in proportion to their length.
     """
     q, t = (np.frombuffer(x.encode("ascii", "replace"), np.uint8) for x in (query, target))
     n, m = len(q), len(t)
@@ -55,55 +59,79 @@ def align_pair(query: str, target: str, match: int = MATCH, mismatch: int = MISM
     if not n or not m:
         size = n or m
         return (-cost(size) if size else 0), (f"{size}{'I' if n else 'D'}" if size else "")
+    w = band
+    while True:
+        score, cigar = _banded(q, t, w, match, mismatch, gaps)
+        out = match * max(0, min(n, m) - w - 1) - cost(w + 1) - cost(w + 1 + abs(n - m))
+        if score > out or w >= max(n, m):
+            return score, cigar
+        w *= 2
+
+
+def _banded(q: np.ndarray, t: np.ndarray, w: int, match: int, mismatch: int, gaps) -> tuple[int, str]:
+    """The best alignment within ``w`` diagonals beside those of both ends.
+
+    Rows are computed at once: gaps along a row come from a running maximum. Column c of row i
+    stands for letter i + low + c of the target."""
+    n, m = len(q), len(t)
+    low, high = min(0, m - n) - w, max(0, m - n) + w
+    low, high = max(low, -n), min(high, m)
+    size = high - low + 1
     far = np.int64(-1) << 40
-    at = np.arange(m + 1)
-    score = np.empty((n + 1, m + 1), np.int64)
-    score[0] = [0] + [-cost(j) for j in range(1, m + 1)]
-    up = [np.full(m + 1, far) for _ in gaps]
-    kind = np.zeros((n + 1, m + 1), np.int8)  # 0 match, 1 insertion, 2 deletion
-    length = np.zeros((n + 1, m + 1), np.int32)  # of the gap that ends here
-    kind[0, 1:], length[0] = 2, at
-    up_size = [np.zeros(m + 1, np.int32) for _ in gaps]
+    cost = np.array([0, *(min(o + e * k for o, e in gaps) for k in range(1, m + 1))], np.int64)
+    at = np.arange(size) + low
+    inside = (at >= 0) & (at <= m)
+    before = np.where(inside, -cost[np.clip(at, 0, m)], far)
+    up = [np.full(size, far) for _ in gaps]
+    up_size = [np.zeros(size, np.int32) for _ in gaps]
+    kind = np.zeros((n + 1, size), np.int8)  # 0 match, 1 insertion, 2 deletion
+    length = np.zeros((n + 1, size), np.int32)  # of the gap that ends here
+    kind[0], length[0] = 2, np.clip(at, 0, m)
+    shifted = lambda x, fill: np.append(x[1:], fill)
+    padded = np.concatenate([[0], t])
     for i in range(1, n + 1):
-        before = score[i - 1]
-        ins, ins_size = np.full(m + 1, far), np.zeros(m + 1, np.int32)
+        at = at + 1
+        inside = (at >= 0) & (at <= m)
+        above = shifted(before, far)
+        ins, ins_size = np.full(size, far), np.zeros(size, np.int32)
         for g, (o, e) in enumerate(gaps):
-            opened = before - o - e
-            grown = up[g] - e
-            up_size[g] = np.where(grown > opened, up_size[g] + 1, 1)
+            opened, grown = above - o - e, shifted(up[g], far) - e
+            up_size[g] = np.where(grown > opened, shifted(up_size[g], 0) + 1, 1)
             up[g] = np.maximum(opened, grown)
             better = up[g] > ins
             ins, ins_size = np.where(better, up[g], ins), np.where(better, up_size[g], ins_size)
-        same = (t == q[i - 1]) & (q[i - 1] != 78)
-        any_n = (t == 78) | (q[i - 1] == 78)
-        diag = np.full(m + 1, far)
-        diag[1:] = before[:-1] + np.where(any_n, 0, np.where(same, match, mismatch))
-        best = np.maximum(diag, ins)
+        letter = padded[np.clip(at, 0, m)]
+        same = (letter == q[i - 1]) & (q[i - 1] != 78)
+        any_n = (letter == 78) | (q[i - 1] == 78)
+        diag = np.where((at >= 1) & inside, before + np.where(any_n, 0, np.where(same, match, mismatch)), far)
+        best = np.where(inside, np.maximum(diag, ins), far)
         row, row_kind, row_size = best.copy(), np.where(diag >= ins, 0, 1).astype(np.int8), np.where(diag >= ins, 0, ins_size)
         for o, e in gaps:
             # a deletion ending at j that starts behind k: best[k] - o - e * (j - k)
             base = best + e * at
             top = np.maximum.accumulate(base)
-            where = np.maximum.accumulate(np.where(base == top, at, 0))
-            dele = np.full(m + 1, far)
+            where = np.maximum.accumulate(np.where(base == top, at, -n - 1))
+            dele = np.full(size, far)
             dele[1:] = top[:-1] - e * at[1:] - o
             better = dele > row
             row = np.where(better, dele, row)
             row_kind = np.where(better, 2, row_kind).astype(np.int8)
             row_size[1:] = np.where(better[1:], at[1:] - where[:-1], row_size[1:])
-        score[i], kind[i], length[i] = row, row_kind, row_size
+        before = np.maximum(np.where(inside, row, far), far)
+        up = [np.maximum(x, far) for x in up]
+        kind[i], length[i] = row_kind, row_size
     ops: list[tuple[int, str]] = []
     i, j = n, m
     while i or j:
-        k = kind[i, j]
-        size = 1 if k == 0 else int(length[i, j])
+        k = kind[i, j - i - low]
+        step = 1 if k == 0 else int(length[i, j - i - low])
         op = "MID"[k]
         if ops and ops[-1][1] == op:
-            ops[-1] = (ops[-1][0] + size, op)
+            ops[-1] = (ops[-1][0] + step, op)
         else:
-            ops.append((size, op))
-        i, j = i - (size if k != 2 else 0), j - (size if k != 1 else 0)
-    return int(score[n, m]), "".join(f"{size}{op}" for size, op in reversed(ops))
+            ops.append((step, op))
+        i, j = i - (step if k != 2 else 0), j - (step if k != 1 else 0)
+    return int(before[m - n - low]), "".join(f"{k}{op}" for k, op in reversed(ops))
 
 
 def difference_string(query: str, target: str, cigar: str) -> tuple[str, int, int]:

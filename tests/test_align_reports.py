@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandweave.operators import align as A
@@ -154,3 +155,30 @@ def test_reference_records(spark):
     df = spark.createDataFrame([("w", "c", 10, 40, True, "ACGTTTTTTTGGCA"), ("o", "c", 10, 16, False, "ACGTTTGGCA"), ("x", "c", 30, 20, True, "ACGTTTGGCA")], "name string, contig string, start long, end long, strand boolean, seq string")
     got = {r.qname: (r.flag, r.pos, r.cigar, r.seq) for r in A.reference_records(df, 4).collect()}
     assert got == {"w": (0, 11, "4M22N4M", "ACGTGGCA"), "o": (16, 11, "6M", "ACGGCA"[:2] + "GGCA"), "x.a1": (0, 28, "4M", "ACGT"), "x.a2": (0, 20, "4M", "GGCA")}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_narrow_band_gives_the_whole_tables_result(seed):
+    r = random.Random(seed)
+    word = lambda n: "".join(r.choice("ACGTN" if seed == 3 else "ACGT") for _ in range(n))
+    for _ in range(25):
+        a = word(r.randrange(1, 90))
+        cut_ = r.randrange(len(a))
+        b = a[:cut_] + word(r.choice((0, 1, 30))) + a[cut_ + r.choice((0, 2, 25)) :] if r.random() < 0.7 else word(r.randrange(1, 90))
+        b = b or "A"
+        for costs in ((1, -9, ((16, 2), (41, 1))), (2, -3, ((4, 2),))):
+            assert A.align_pair(a, b, *costs, band=1) == A.align_pair(a, b, *costs, band=1000)
+
+
+def test_long_similar_strings_take_little_room():
+    r = random.Random(9)
+    a = "".join(r.choice("ACGT") for _ in range(20_000))
+    b = a[:7_000] + "ACGTACGT" + a[7_000:15_000] + a[15_020:]
+    score, cigar = A.align_pair(b, a)
+    assert X_sum(cigar, "MI") == len(b) and X_sum(cigar, "MD") == len(a) and cigar.count("I") == 1 and cigar.count("D") == 1
+
+
+def X_sum(cigar, ops):
+    import re
+
+    return sum(int(n) for n, o in re.findall("([0-9]+)([MID])", cigar) if o in ops)
