@@ -115,6 +115,11 @@ def first_of_each(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return best.select(*key, "x.*", "copies")
 
 
+def seeded(key: str, seed: int) -> Column:
+    """Eight hexadecimal digits that look random, the same for a key and a seed in every run and in other engines."""
+    return F.left(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))), F.lit(8))
+
+
 def endpoint_category(v1: Column, v2: Column, t1: Column, t2: Column) -> Column:
     """How anchored ends compare with the true ones; ~ is a clipped end."""
     same = ((v1 == t1) & (v2 == t2)) | ((v1 == t2) & (v2 == t1))

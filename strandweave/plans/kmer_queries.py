@@ -151,6 +151,10 @@ QUERIES = {q.__name__: q for q in (
     kan_uncovered_intervals, kan_long_gaps, sfs_unique_read_kmers, sfs_bounded, sfs_assembled, sfs_full, revcomp_slices, kmer_encode_decode, overlapping_windows, homopolymer_runs, n_content,
 )}
 
+# the hash of sampled k-mers in numbers of 128 bits; fixed values: its primes
+_P = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+_MUL = lambda x, p: f"(({x}) * {p}::uhugeint) % {2**64}::uhugeint"
+_ROT = lambda x, n: f"(({x}) * {2**n}::uhugeint) % {2**64}::uhugeint + ({x}) // {2 ** (64 - n)}::uhugeint"
 _DECODE = "list_aggregate(list_transform(range(21), lambda j: substr('ACGT', ((sxs >> (40 - 2 * j)::int) & 3)::int + 1, 1)), 'string_agg', '')"
 _RUNS = """
 g as (select *, sum(hit::int) over (partition by rid order by pos) as g from hit),
@@ -192,6 +196,10 @@ SQL = {
     "kmer_canonical_counts": with_("reads", "rk") + "select kmer, count(*) as n from rk group by kmer having count(*) > 1",
     "sketch_path_kmers": _PATHS + "select v1, count(*) as n, count(*) filter (where is_ref) as n_ref, count(*) filter (where has_both) as n_both from q where v1 = v2 group by v1",
     "sketch_edge_kmers": _PATHS + "select kmer, v1, cast(pos1 as bigint) as pos1, v2, cast(pos2 as bigint) as pos2, is_ref, has_both from q where v1 <> v2",
+    "sketch_density_sample": with_("panel", "pk") + f""", cd as (select kmer, vid, pos, cast(list_sum(list_transform(range({K}), lambda j: (position(substr(kmer, (j + 1)::int, 1) in 'ACGT') - 1)::bigint << (2 * ({K} - 1 - j))::int)) as uhugeint) as x from uk),
+        h1 as (select *, {_MUL("x", _P[1])} as a from cd), h2 as (select *, {_MUL(_ROT("a", 31), _P[0])} as a2 from h1), h3 as (select *, xor({(_P[4] + 8) % 2**64}::uhugeint, a2) as b from h2),
+        h4 as (select *, ({_MUL(_ROT("b", 27), _P[0])} + {_P[3]}::uhugeint) % {2**64}::uhugeint as c from h3), h5 as (select *, {_MUL(f"xor(c, c // {2**33}::uhugeint)", _P[1])} as e from h4),
+        h6 as (select *, {_MUL(f"xor(e, e // {2**29}::uhugeint)", _P[2])} as f from h5) select kmer, vid, pos from h6 where xor(f, f // {2**32}::uhugeint) <= {2**62}::uhugeint""",
     "sketch_first_base_bins": with_("panel", "pk") + "select left(kmer, 1) as base, count(*) as n, round(avg(is_ref::int), 6) as ref_share from uk group by 1",
     "sketch_table_dump": f"""select row_id, {_DECODE} as kmer, concat_ws('>', pos1, pos2) as pos,
         case when rev1 then '<' else '>' end || v1 || case when rev2 then '<' else '>' end || v2 as vertices, has_both::int as rc, is_ref::int as ref from sketch where sxs >= 0""",

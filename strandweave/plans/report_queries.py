@@ -469,13 +469,13 @@ def union_tables(spark, d):
 
 def read_sample(spark, d):
     """A tenth of the reads by a seeded hash, the same ones on every run."""
-    return V.reads(spark, d).where(F.pmod(F.xxhash64("rid", F.lit(42)), F.lit(10)) == 1).select("rid", F.length("seq").alias("l"))
+    return V.reads(spark, d).where(R.seeded("rid", 42) < "1999999a").select("rid", F.length("seq").cast("bigint").alias("l"))
 
 
 def sample_choice(spark, d):
     """Eight clusters in a seeded random order."""
     c = table(spark, d, "cand_paths").where("cluster_id is not null").select("cluster_id").distinct()
-    return c.orderBy(F.xxhash64("cluster_id", F.lit(23)), "cluster_id").limit(8)
+    return c.orderBy(R.seeded("cluster_id", 23), "cluster_id").limit(8)
 
 
 QUERIES = {q.__name__: q for q in (
@@ -653,5 +653,7 @@ SQL = {
     "dedup_records": "select min(sfs_id) as sfs_id, rname, s, count(*) as copies from sfs where plain_seq is not null group by rname, s, upper(plain_seq) having count(*) > 1",
     "name_translate": "select aln_id, trust_rank from gaf join aligners using (aligner)",
     "name_filter": "select sfs_id, coalesce(rname in (select rname from sfs where batch_id = 0 and rname is not null), false) as listed from sfs",
+    "read_sample": with_("reads") + "select rid, length(seq) as l from reads where left(md5('42-' || rid), 8) < '1999999a'",
+    "sample_choice": "select distinct cluster_id from cand_paths where cluster_id is not null order by left(md5('23-' || cluster_id), 8), cluster_id limit 8",
     "union_tables": "select 'sfs' as src, sfs_id as id, length(plain_seq) as l from sfs where plain_seq is not null union all select 'cand_paths', cp_id, length(sequence) from cand_paths where sequence is not null",
 }
