@@ -12,8 +12,8 @@ from ..functions.seqexpr import harmonic_mean, pack_handle
 from .ordered import running_sum, with_previous
 
 
-def nearest_anchors(strings: DataFrame, usable: DataFrame, key: str, k: int, most: int | None = 20, tile: int = 1 << 16) -> DataFrame:
-    """(key, s, e, side, r, anchor columns): the nearest ``most`` usable k-mers on each side of each string (key, s, e), or all of them for None.
+def nearest_anchors(strings: DataFrame, usable: DataFrame, key: str, k: int, most: int | None = 20, tile: int = 1 << 16, sides: tuple[str, ...] = ("left", "right")) -> DataFrame:
+    """(key, s, e, side, r, anchor columns): the nearest ``most`` usable k-mers on each of ``sides`` of each string (key, s, e), or all of them for None.
 
     usable: (key, pos, ...) k-mers that occur once in their read and are in the sketch. Anchors
     don't overlap the string; r counts them from it outwards. Positions are unique on a read, so
@@ -38,7 +38,8 @@ def nearest_anchors(strings: DataFrame, usable: DataFrame, key: str, k: int, mos
         low, high = F.greatest(F.col("__l") - (most - 1), F.lit(1)), F.col("__r") + most
     side = lambda name, a, b: F.when(a <= b, F.transform(F.sequence(a, b), lambda c: F.struct(F.lit(name).alias("side"), c.alias("__c"))))
     none = F.filter(F.array(F.struct(F.lit("").alias("side"), F.lit(0).cast("bigint").alias("__c"))), lambda x: F.lit(False))
-    picked = F.concat(F.coalesce(side("left", low, F.col("__l")), none), F.coalesce(side("right", F.col("__r") + 1, high), none))
+    both = {"left": side("left", low, F.col("__l")), "right": side("right", F.col("__r") + 1, high)}
+    picked = F.concat(*(F.coalesce(both[x], none) for x in sides))
     rows = wide.select(key, "s", "e", "__l", "__r", F.inline(picked)).join(numbered, [key, "__c"])
     r = F.when(F.col("side") == "left", F.col("__l") - F.col("__c") + 1).otherwise(F.col("__c") - F.col("__r"))
     return rows.select(key, "s", "e", "side", r.cast("int").alias("r"), *(c for c in usable.columns if c != key))
@@ -60,8 +61,10 @@ def best_paths(anchors: DataFrame, locations: DataFrame, key: str) -> DataFrame:
     """(key, s, e, path, nl, nr): the path with anchors on both sides whose counts have the highest
     harmonic mean, then the highest sum, then the lowest id.
 
-    anchors: with vid; locations: (vid, path), distinct. The order is one aggregated struct."""
-    on = anchors.join(locations, "vid").groupBy(key, "s", "e", "path").agg(F.count_if(F.col("side") == "left").alias("nl"), F.count_if(F.col("side") == "right").alias("nr"))
+    anchors: with vid; locations: (vid, path), distinct. Anchors on one vertex are counted before they
+    meet the paths through it. The order is one aggregated struct."""
+    counted = anchors.groupBy(key, "s", "e", "vid").agg(F.count_if(F.col("side") == "left").alias("nl"), F.count_if(F.col("side") == "right").alias("nr"))
+    on = counted.join(locations, "vid").groupBy(key, "s", "e", "path").agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"))
     both = on.where("nl > 0 and nr > 0")
     order = F.struct((-harmonic_mean(F.col("nl"), F.col("nr"))).alias("h"), (-F.col("nl") - F.col("nr")).alias("n"), "path", "nl", "nr")
     best = both.groupBy(key, "s", "e").agg(F.min(order).alias("x"))
@@ -72,7 +75,8 @@ def ranked_paths(anchors: DataFrame, locations: DataFrame, key: str, most: int)
     """(key, s, e, path, n, r): the ``most`` paths on which most anchors of a string lie, the lowest id first on ties.
 
     The list of a string is bounded by the paths through its at most 2 * NA anchors."""
-    on = anchors.join(locations, "vid").groupBy(key, "s", "e", "path").agg(F.count(F.lit(1)).alias("n"))
+    counted = anchors.groupBy(key, "s", "e", "vid").agg(F.count(F.lit(1)).alias("n"))
+    on = counted.join(locations, "vid").groupBy(key, "s", "e", "path").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(key, "s", "e").orderBy(F.desc("n"), "path")
     return on.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
 

@@ -228,7 +228,7 @@ def longest_matches(reads: DataFrame, panel: DataFrame, key: str, seq: str) -> D
         if own is not None:
             tiles = tiles.join(own, ["key", "t"])
         mixed = _windows(tiles, "key", kind, words, own is not None).unionByName(pieces)
-        found = cut(_matches(mixed, kind, words))
+        found = _matches(mixed, kind, words)
         settled = F.col("m") < F.least(F.lit(width), "n")
         over = found.where(settled | (F.col("n") <= width))
         done = over if done is None else done.unionByName(over)
@@ -246,7 +246,7 @@ def minimal_absent_whole(reads: DataFrame, panel: DataFrame, key: str, seq: str)
     if the one from the next place on reaches at least as far."""
     found = longest_matches(reads, panel, key, seq)
     least = found.select(key, "s", F.when(F.col("m") < F.col("n"), F.col("m") + 1).alias("l"))
-    return _minimal(cut(least), key)
+    return _minimal(least, key)
 
 
 _CODE = np.zeros(256, np.int64)

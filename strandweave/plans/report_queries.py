@@ -36,7 +36,7 @@ def _anchors(spark, d):
 
 def _anchors_side(side):
     def query(spark, d):
-        return _anchors(spark, d)[1].where(F.col("side") == side).select("rid", "s", "e", F.col("r").cast("bigint").alias("r"), "pos")
+        return N.nearest_anchors(*_strings(spark, d), "rid", K, ANCHORS, sides=(side,)).select("rid", "s", "e", F.col("r").cast("bigint").alias("r"), "pos")
 
     query.__name__ = f"anchors_topn_{side}"
     return query
