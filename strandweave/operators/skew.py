@@ -20,3 +20,16 @@ def join_to_unique(df: DataFrame, right: DataFrame, key: str, how: str = "inner"
     keys = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in hot], df.select(key).schema))
     few = F.broadcast(right.join(keys, key, "left_semi"))
     return df.join(keys, key, "left_anti").join(right, key, how).unionByName(df.join(keys, key, "left_semi").join(few, key, how))
+
+
+def join_counted(df: DataFrame, right: DataFrame, on: list[str], how: str = "inner", count: str = "n", crowded: int = CROWDED) -> DataFrame:
+    """``df`` joined (inner or left_semi) with ``right``, which has one row a key and in ``count`` how many rows of ``df`` have it.
+
+    As ``join_to_unique``, but what is crowded is read off ``right``, which should be a written table.
+    The column ``count`` isn't in the result."""
+    big = right.where(F.col(count) > crowded)
+    rest = right.where(F.col(count) <= crowded).drop(count)
+    if big.isEmpty():
+        return df.join(rest, on, how)
+    big = F.broadcast(big.drop(count))
+    return df.join(F.broadcast(big.select(*on)), on, "left_anti").join(rest, on, how).unionByName(df.join(big, on, how))

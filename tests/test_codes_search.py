@@ -13,7 +13,7 @@ from strandweave.functions.letters import letters
 from strandweave.operators import anchoring as N
 from strandweave.operators import graph as G
 from strandweave.operators import search, sketch
-from strandweave.operators.skew import join_to_unique
+from strandweave.operators.skew import join_counted, join_to_unique
 
 TURN = str.maketrans("ACGT", "TGCA")
 
@@ -163,6 +163,17 @@ def test_a_shared_key_is_joined_all_the_same(spark, crowded):
         assert a == sorted(df.join(right, "k", how).select("i", "v").collect(), key=str)
 
 
+@pytest.mark.parametrize("crowded", [1, 4, 1 << 20])
+def test_counted_keys_are_joined_all_the_same(spark, crowded):
+    rows = [(i, i % 3 and 1, None if i == 5 else i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "i int, a int, b int")
+    right = df.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("low")).where("n > 5")
+    for how in ("inner", "left_semi"):
+        got = join_counted(df, right, ["a", "b"], how, crowded=crowded)
+        want = df.join(right.drop("n"), ["a", "b"], how)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 @pytest.mark.parametrize("crowded", [1, 1 << 20])
 def test_components_with_shared_labels(spark, crowded):
     edges = [(i, i + 1) for i in range(30)] + [(50, 51), (60, 60)]
