@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..functions.letters import chunks, letters, ranges, row_of
 from ..functions.lineage import cut
 from ..operators.graph import components
+from ..operators.skew import CROWDED as SHARED
+from ..operators.skew import join_counted, join_to_unique
 from .records import slices
 
 #: Bits of the bitmap of a set.
@@ -265,17 +267,18 @@ def _base(rows: DataFrame) -> DataFrame:
     return base.select("id", F.coalesce("v1", "v2").alias("v1"), F.coalesce("v2", "v1").alias("v2"), "text")
 
 
-def further_copies(rows: DataFrame) -> DataFrame:
+def further_copies(rows: DataFrame, shared: int = SHARED) -> DataFrame:
     """(id, rep): rows whose text (case ignored) and pair of anchors another row of a lower id has too, with the lowest of these.
 
-    Hashes find the few rows that may have a copy, the texts themselves decide. A class of copies is never gathered."""
+    Hashes find the few rows that may have a copy, the texts themselves decide. A class of copies is
+    never gathered, and one of over ``shared`` rows isn't shuffled by its text."""
     base = _base(rows).select("id", F.least("v1", "v2").alias("low"), F.greatest("v1", "v2").alias("high"), F.upper("text").alias("u"))
-    key = ["low", "high", "h"]
+    key, whole = ["low", "high", "h"], ["low", "high", "u"]
     hashed = base.withColumn("h", F.xxhash64("u"))
-    likely = hashed.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = cut(hashed.join(likely, key, "left_semi").select("id", "low", "high", "u"))
-    lowest = met.groupBy("low", "high", "u").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return met.join(lowest, ["low", "high", "u"]).where("id <> rep").select("id", "rep")
+    likely = cut(hashed.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = cut(join_counted(hashed, likely, key, "left_semi", crowded=shared).select("id", *whole))
+    lowest = cut(met.groupBy(*whole).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return join_counted(met, lowest, whole, crowded=shared).where("id <> rep").select("id", "rep")
 
 
 def _crowds(df: DataFrame, key: list[str], crowded: int) -> DataFrame | None:
@@ -376,5 +379,6 @@ def near_classes(rows: DataFrame, k: int = 15, t_num: int = 1, t_den: int = 2, c
     links = ends.groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     linked = ends.distinct().select(F.col("class").alias("vid"))
     group = components(linked, found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).select(F.col("vid").alias("class"), F.col("component").alias("group"))
-    out = own.join(links, "class", "left").join(group, "class", "left")
+    # all copies of a class have its one row of each
+    out = join_to_unique(join_to_unique(own, links, "class", "left", SHARED), group, "class", "left", SHARED)
     return out.select("id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group", "class").alias("group"))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.letters import chunks, ranges, row_of
+from ..functions.lineage import cut
+from ..operators.skew import join_counted
 from .records import slices
 
 #: Letters in the words that route a run.
@@ -255,8 +257,8 @@ def _covered(texts: DataFrame, span: int, cells: int, later: bool) -> DataFrame:
     long_enough = base.where(F.length("text") >= span)
     finger = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(span)).alias("h2"), F.length("text").alias("size")]
     thin = long_enough.select("rid", *finger)
-    copied = thin.groupBy("h1", "h2", "size").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first")).where("n > 1").drop("n")
-    copies = thin.join(copied, ["h1", "h2", "size"])
+    copied = cut(thin.groupBy("h1", "h2", "size").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first")).where("n > 1"))
+    copies = join_counted(thin, copied, ["h1", "h2", "size"])
     copies = (copies.where("rid <> first") if later else copies).select("rid", F.col("size").cast("int").alias("n_shared"))
     # of copies the first one stands for all; its letters are shared as a whole, or are the first of their kind
     single = long_enough.groupBy("text").agg(F.min("rid").alias("rid"), (F.count(F.lit(1)) > 1).alias("copied"))

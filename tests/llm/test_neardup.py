@@ -111,3 +111,10 @@ def test_no_key_is_crowded_by_size_alone(spark, monkeypatch):
     df = spark.createDataFrame([(i % 40,) for i in range(4000)] + [(99,)] * 1500, "anchor long")
     found = neardup._crowds(df, ["anchor"], 10).collect()
     assert [(r.anchor, r.parts) for r in found] == [(99, 2)] and neardup._crowds(df, ["anchor"], 2000) is None
+
+
+def test_a_class_of_many_copies_stays_out_of_shuffles(spark):
+    rows = with_copies() + [(9000 + i, 1, 2, "ACGTACGTACGGT") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, v1 long, v2 long, text string")
+    a, b = ({tuple(x) for x in neardup.further_copies(df, n).collect()} for n in (2, 1 << 20))
+    assert a == b and {(9000 + i, 9000) for i in range(1, 40)} <= a
