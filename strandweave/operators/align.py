@@ -134,6 +134,190 @@ def _banded(q: np.ndarray, t: np.ndarray, w: int, match: int, mismatch: int, gap
     return int(before[m - n - low]), "".join(f"{k}{op}" for k, op in reversed(ops))
 
 
+#: Cells of the tables that are worked out at a time, and pairs.
+_CELLS, _PAIRS = 1 << 24, 512
+
+
+def align_pairs(pairs: list[tuple[str, str]], match: int = MATCH, mismatch: int = MISMATCH, gaps=GAPS, band: int = 32) -> list[tuple[int, str]]:
+    """What ``align_pair`` gives for each pair, worked out for many pairs of like sizes at once. All opening costs must be above 0.
+
+    Common ends behind are left out of the tables: equal last letters are always worth aligning, and matches are
+    preferred from the end on. The first score of a pair tells how wide a band surely holds all of its
+    best ways, so a pair is worked out twice at most."""
+    cost = lambda size: min(o + e * size for o, e in gaps)
+    found: list = [None] * len(pairs)
+    todo = []
+    for x, (query, target) in enumerate(pairs):
+        q, t = (np.frombuffer(s.encode("ascii", "replace"), np.uint8) for s in (query, target))
+        least = min(len(q), len(t))
+        differ = np.flatnonzero(q[len(q) - least :] != t[len(t) - least :])
+        tail = least - 1 - int(differ[-1]) if len(differ) else least
+        rest = q[len(q) - tail :]
+        n, m, more = len(q) - tail, len(t) - tail, match * int((rest != 78).sum())
+        if not n or not m:
+            size = n or m
+            found[x] = (more - (cost(size) if size else 0), (f"{size}{'I' if n else 'D'}" if size else "") + (f"{tail}M" if tail else ""))
+        else:
+            todo.append((x, q[:n], t[:m], tail, more, band))
+    while todo:
+        again = []
+        for part in _alike(todo):
+            for (x, q, t, tail, more, w), table in zip(part, _tables(part, match, mismatch, gaps)):
+                n, m = len(q), len(t)
+                score = table.score(n, m)
+                at = np.arange(w, max(w, n, m) + 1)
+                gap = lambda size: np.min([o + e * size for o, e in gaps], axis=0)
+                out = match * np.maximum(0, min(n, m) - at - 1) - gap(at + 1) - gap(at + 1 + abs(n - m))
+                wide = w + min(int((out >= score).sum()), len(at) - 1)  # ways that leave a wider band reach less
+                if wide > w:
+                    again.append((x, q, t, tail, more, wide))
+                else:
+                    found[x] = (score + more, table.cigar(q, t, tail))
+        todo = again
+    return found
+
+
+def _reach(q: np.ndarray, t: np.ndarray, w: int) -> tuple[int, int]:
+    """The lowest and the highest diagonal (place in the target less place in the query) of a band."""
+    d = len(t) - len(q)
+    return max(min(0, d) - w, -len(q)), min(max(0, d) + w, len(t))
+
+
+def _alike(todo: list) -> list[list]:
+    """Parts of pairs whose bands and lengths are alike, none with more cells than are worked out at a time, but one pair at least."""
+    place = lambda x: (*(int(np.sign(d)) * int(abs(d)).bit_length() for d in _reach(x[1], x[2], x[5])), len(x[1]))
+    parts: list[list] = []
+    low = high = n = m = 0
+    for x in sorted(todo, key=place):
+        a, b = _reach(x[1], x[2], x[5])
+        if parts:
+            wider = min(low, a), max(high, b), max(n, len(x[1])), max(m, len(x[2]))
+            size = wider[1] - wider[0] + 1
+            fits = size <= 2 * (b - a + 1) and wider[2] + wider[3] <= 1.5 * (len(x[1]) + len(x[2])) + 16
+            if fits and len(parts[-1]) < _PAIRS and (len(parts[-1]) + 1) * (wider[2] + wider[3] + 1) * (size // 2 + 4) <= _CELLS:
+                low, high, n, m = wider
+                parts[-1].append(x)
+                continue
+        parts.append([x])
+        low, high, n, m = a, b, len(x[1]), len(x[2])
+    return parts
+
+
+class _Table:
+    """One pair's part of the tables: ``lost[d, i - first[d] + 1, pair]`` is what the best way to place i of the
+    query and d - i of the target falls short of letters that all match, doubled."""
+
+    def __init__(self, lost: np.ndarray, first: np.ndarray, last: np.ndarray, costs: tuple):
+        self.lost, self.first, self.last, (self.match, self.other, self.gaps) = lost, first, last, costs
+
+    def at(self, i, j):
+        d = i + j
+        slot = i - self.first[d] + 1
+        inside = (i >= self.first[d]) & (i <= self.last[d])
+        return np.where(inside, self.lost[d, np.where(inside, slot, 0)], np.int64(1) << 40)
+
+    def score(self, n: int, m: int) -> int:
+        return (self.match * (n + m) - int(self.at(n, m))) // 2
+
+    def cigar(self, q: np.ndarray, t: np.ndarray, tail: int) -> str:
+        """Of equal ways as ``_banded`` prefers: letters aligned, then an insertion, then a deletion; the first cost and the shortest gap."""
+        ops: list[tuple[int, str]] = [(tail, "M")] if tail else []
+        i, j = len(q), len(t)
+        while i or j:
+            step, op = 0, "M"
+            back = np.arange(min(i, j) + 1)
+            if len(back) > 1:
+                here = self.at(i - back, j - back)
+                a, b = q[i - back[:-1] - 1], t[j - back[:-1] - 1]
+                short = np.where((a == 78) | (b == 78), 2 * self.match, np.where(a == b, 0, self.other))
+                other = np.flatnonzero(here[:-1] != here[1:] + short)
+                step = int(other[0]) if len(other) else len(back) - 1
+            if not step:
+                here = self.at(i, j)
+                for op, most in (("I", i), ("D", j)):
+                    size = np.arange(1, most + 1)
+                    before = self.at(i - size, j) if op == "I" else self.at(i, j - size)
+                    for o, e in self.gaps:
+                        fits = np.flatnonzero(before + o + e * size == here)
+                        if len(fits):
+                            step = int(size[fits[0]])
+                            break
+                    if step:
+                        break
+            if ops and ops[-1][1] == op:
+                ops[-1] = (ops[-1][0] + step, op)
+            else:
+                ops.append((step, op))
+            i, j = i - (step if op != "D" else 0), j - (step if op != "I" else 0)
+        return "".join(f"{k}{op}" for k, op in reversed(ops))
+
+
+def _tables(part: list, match: int, mismatch: int, gaps) -> list[_Table]:
+    """The tables of pairs in one band that holds all of theirs, by anti-diagonals.
+
+    Costs are doubled and less the matches that both letters could have, so a match costs nothing. Cells behind
+    a pair's own letters lead to none of its cells, so they may hold anything."""
+    reach = [_reach(x[1], x[2], x[5]) for x in part]
+    low, high = min(a for a, _ in reach), max(b for _, b in reach)
+    n, m = max(len(x[1]) for x in part), max(len(x[2]) for x in part)
+    other, any_n, costs = 2 * (match - mismatch), 2 * match, [(2 * o, 2 * e + match) for o, e in gaps]
+    # each cell is reached by letters that differ and one gap
+    most = other * min(n, m) + min(o + e * max(high, -low) for o, e in costs) + 2 * max(other, *(o + e for o, e in costs))
+    small = most < 30_000 and other < 128
+    kind, far = (np.int16, 30_000) if small else (np.int32, 1 << 29)
+    q, t = np.zeros((n, len(part)), kind), np.zeros((m, len(part)), kind)  # t from its end on
+    for b, x in enumerate(part):
+        q[: len(x[1]), b], t[m - len(x[2]) :, b] = x[1], x[2][::-1]
+    q_n, t_n = q == 78, t == 78
+    with_n = bool(q_n.any() or t_n.any())
+    if small:
+        q, t = q << 7, t << 7
+    d = np.arange(n + m + 1)
+    first = np.maximum(np.maximum(0, d - m), -((high - d) // 2))
+    last = np.minimum(np.minimum(d, n), (d - low) // 2)
+    lost = np.empty((n + m + 1, int((last - first).max()) + 3, len(part)), kind)
+    lost[0] = far
+    lost[0, 1] = 0
+    room = lost.shape[1:]
+    ends = [[np.full(room, far, kind) for _ in range(2)] for _ in range(2 * len(gaps))]  # of insertions and deletions by cost: before and now
+    opened, met = np.empty(room, kind), np.empty(room, kind)
+    for s in range(1, n + m + 1):
+        a, b = int(first[s]), int(last[s])
+        size = b - a + 1
+        row = lost[s]
+        row[0] = row[size + 1] = far
+        now, step = row[1 : size + 1], a - int(first[s - 1])
+        left, width = lost[s - 1], int(last[s - 1] - first[s - 1]) + 3
+        for g, (o, e) in enumerate(costs):
+            free = np.add(left[:width], o + e, out=opened[:width])
+            for k, (old, new) in enumerate(ends[2 * g : 2 * g + 2]):
+                at = step + k  # an insertion (0) comes from the letter of the query before
+                grown = np.add(old[at : at + size], e, out=new[1 : size + 1])
+                np.minimum(grown, free[at : at + size], out=grown)
+                new[0] = new[size + 1] = far
+                if g + k:
+                    np.minimum(now, grown, out=now)
+                else:
+                    now[:] = grown
+                ends[2 * g + k].reverse()
+        x, y = max(a, 1), min(b, s - 1)  # both letters are there
+        if s > 1 and x <= y:
+            at = x - 1 - int(first[s - 2]) + 1
+            letters, places = slice(x - 1, y), slice(m - s + x, m - s + y + 1)
+            short = met[: y - x + 1]
+            if small:
+                np.bitwise_xor(q[letters], t[places], out=short)
+                np.minimum(short, other, out=short)
+            else:
+                short[:] = np.where(q[letters] == t[places], 0, other)
+            if with_n:
+                short[q_n[letters] | t_n[places]] = any_n
+            short += lost[s - 2, at : at + y - x + 1]
+            own = now[x - a : y - a + 1]
+            np.minimum(own, short, out=own)
+    return [_Table(lost[:, :, b], first, last, (match, other, costs)) for b in range(len(part))]
+
+
 def difference_string(query: str, target: str, cigar: str) -> tuple[str, int, int]:
     """(cs, matches, edit distance) of an M/I/D/=/X alignment: ``:n`` equal, ``*tq`` replaced, ``+q`` inserted, ``-t`` deleted."""
     out, equal, matches, nm, i, j, size = [], 0, 0, 0, 0, 0, 0
@@ -187,12 +371,14 @@ _ALIGNED = T.StructType([T.StructField("score", T.LongType()), T.StructField("ci
 @F.arrow_udf(_ALIGNED)
 def aligned(query: pa.Array, target: pa.Array) -> pa.Array:
     """Global alignment of two columns of strings; null if either is. Equal strings need no table."""
+    pairs = list(zip(query.to_pylist(), target.to_pylist()))
+    found = iter(align_pairs([x for x in pairs if None not in x]))
     out = []
-    for q, t in zip(query.to_pylist(), target.to_pylist()):
+    for q, t in pairs:
         if q is None or t is None:
             out.append(None)
             continue
-        score, cigar = (MATCH * (len(q) - q.count("N")), f"{len(q)}M") if q == t and q else align_pair(q, t)
+        score, cigar = next(found)
         cs, matches, nm = difference_string(q, t, cigar)
         out.append({"score": score, "cigar": cigar, "cs": cs, "matches": matches, "nm": nm})
     return pa.array(out, pa.struct([("score", pa.int64()), ("cigar", pa.string()), ("cs", pa.string()), ("matches", pa.int32()), ("nm", pa.int32())]))

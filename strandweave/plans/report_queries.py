@@ -158,8 +158,10 @@ def affine_align(spark, d):
     """Candidate sequences aligned to the first one of their cluster, kept if both ends are aligned."""
     rows = table(spark, d, "cand_paths").where("sequence is not null and sequence not in ('', '.') and cluster_id is not null").select("cluster_id", "cp_id", F.upper("sequence").alias("seq"))
     first = rows.groupBy("cluster_id").agg(F.min(F.struct("cp_id", "seq")).alias("x"))
-    met = rows.join(first, "cluster_id").where("cp_id <> x.cp_id").withColumn("a", A.aligned("seq", "x.seq"))
-    return met.where(A.anchored_ends(F.col("a.cigar"))).select("cp_id", "a.score", "a.cigar", "a.matches", "a.nm", A.cs_to_cigar(F.col("a.cs")).alias("extended"))
+    # a filter on the alignment would be pushed below it, and each pair aligned twice
+    kept = F.filter(F.array(A.aligned("seq", "x.seq")), lambda a: A.anchored_ends(a["cigar"]))
+    met = rows.join(first, "cluster_id").where("cp_id <> x.cp_id").select("cp_id", F.explode(kept).alias("a"))
+    return met.select("cp_id", "a.score", "a.cigar", "a.matches", "a.nm", A.cs_to_cigar(F.col("a.cs")).alias("extended"))
 
 
 def _aligned_to_first(spark, d):

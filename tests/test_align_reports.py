@@ -182,3 +182,33 @@ def X_sum(cigar, ops):
     import re
 
     return sum(int(n) for n, o in re.findall("([0-9]+)([MID])", cigar) if o in ops)
+
+
+@pytest.mark.parametrize("costs", [(1, -9, ((16, 2), (41, 1))), (2, -3, ((4, 2),)), (200, -300, ((16, 2), (41, 1)))])
+def test_pairs_together_align_as_each_alone(costs):
+    r = random.Random(11)
+    word = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    pairs = [("", ""), ("", "ACG"), ("ACG", ""), ("ACGN", "ACGN"), ("CG", "ACG"), ("É", "A")]
+    for _ in range(60):
+        letters = r.choice(("ACGT", "ACGTN", "AC", "ACGTX"))
+        a = word(r.randrange(70), letters)
+        at = r.randrange(len(a) + 1)
+        other = a[:at] + word(r.choice((0, 1, 30)), letters) + a[at + r.choice((0, 2, 25)) :]
+        pairs.append((a, other if r.random() < 0.7 else word(r.randrange(70), letters)))
+    want = [A.align_pair(*p, *costs) for p in pairs]
+    for band in (1, 12):
+        assert A.align_pairs(pairs, *costs, band=band) == want
+
+
+def test_long_pairs_need_wider_numbers():
+    r = random.Random(12)
+    a = "".join(r.choice("ACGT") for _ in range(3_000))
+    pairs = [(a[:900] + "ACGTAC" + a[900:2_000] + a[2_015:] + "C", a + "G"), (a, a[:1_500] + "N" + a[1_501:])]
+    assert A.align_pairs(pairs) == [A.align_pair(*p) for p in pairs]
+
+
+def test_pairs_of_a_query_are_aligned_once(spark):
+    from strandweave.plans import report_queries as Q
+
+    plan = Q.affine_align(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == plan.split("Initial Plan")[0].count("ArrowEvalPython") == 1
